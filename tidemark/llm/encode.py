@@ -3,10 +3,8 @@
 A text is cut where the tokenizer itself always cuts, each distinct piece is encoded once and kept, and a text's ids are its
 pieces' joined. That gives the ids of encoding the whole text, since neither vocabulary's pieces cross such a cut:
 
-- lower-casing vocabulary with word ends: any run of white space parts words and is dropped;
-- byte-level vocabulary: a space goes with the word after it, if no other white space is about.
-
-Texts with white space that either rule doesn't cover are encoded whole.
+- lower-casing vocabulary with word ends: white space parts words and is dropped;
+- byte-level vocabulary: a space or line feed between two words starts a piece. Texts where it touches other white space are encoded whole.
 
 tests/llm/test_tokens.py holds both against encoding whole texts.
 """
@@ -14,20 +12,23 @@ tests/llm/test_tokens.py holds both against encoding whole texts.
 from __future__ import annotations
 
 import os
-import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-
-#: So many pieces are kept in a worker at once (about 100 MB).
-KEPT_PIECES = 400_000
-#: White space for str.split() that the vocabulary takes as signs.
-_SIGNS = re.compile("[\x1c-\x1f]")
-#: A space that other white space touches on both sides, or before it at the text's end; two spaces; the mark for cuts.
-_RUNS = re.compile(r"\s (?!\S)| {2}|\x00")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: So many new pieces, and those of the generation before, are kept in a worker (about 120 MB); pieces in use move on.
+KEPT_PIECES = 300_000
+_SIGN_RUN = string.punctuation
+#: A space or line feed that touches other white space.
+_RUNS = r"[\s\p{Z}\x{85}\x1c-\x1f][ \n]|[ \n][\s\p{Z}\x{85}\x1c-\x1f]"
+#: Marks for cuts: the first that no text has.
+_MARKS = ("\0", "\x01", "\x02", "\x03", "\ue000", "\uf8ff")
 #: Texts encoded together: at most so many characters, one text at least.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 8_000_000
 
 
 class Encoder:
@@ -40,34 +41,94 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special tokens' names in a text are ordinary text
         self.cut = cut
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.lines = self.marked.copy()
+        for token, i in vocabulary.items():
+            self.marked[i] = token.endswith("</w>") if cut == "words" else token.startswith("\u0120")  # the vocabulary's sign for a space
+            self.lines[i] = token.startswith("\u010a")  # and for a line feed
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, texts: pa.StringArray) -> pa.ListArray | None:
+        """Each text's pieces; None if every mark for cuts occurs in the texts."""
+        if self.cut == "words":
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        for mark in _MARKS:
+            if not pc.any(pc.match_substring(texts, mark)).as_py():
+                cut = pc.replace_substring(pc.replace_substring(texts, " ", mark + " "), "\n", mark + "\n")
+                return pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _RUNS), texts, cut), mark)
+        return None
+
+    def _learn(self, missing: set[str], to: dict[str, bytes]) -> None:
+        """Encodes pieces. Those that stay apart in one text go as one: words of letters, with a run of signs after them or without, part
+        where a token ends a word; printable pieces after a space or line feed part where a token starts with it."""
+        groups: list[tuple[list[str], str, int, np.ndarray]] = []
+        rest: list[str] = []
         if self.cut == "words":
-            return [text] if _SIGNS.search(text) else text.split()
-        if _RUNS.search(text):
-            return [text]
-        return text.replace(" ", "\0 ").split("\0")
+            plain: list[str] = []
+            signed: list[str] = []
+            for p in missing:
+                if p.isalpha():
+                    plain.append(p)
+                elif p.rstrip(_SIGN_RUN).isalpha():
+                    signed.append(p)
+                else:
+                    rest.append(p)
+            groups = [(plain, " ", 1, self.marked), (signed, " ", 2, self.marked)]
+        else:
+            spaced: list[str] = []
+            lines: list[str] = []
+            for p in missing:
+                (rest if not p[1:].isprintable() or len(p) < 2 else spaced if p[0] == " " else lines if p[0] == "\n" else rest).append(p)
+            groups = [(spaced, "", 1, self.marked), (lines, "", 1, self.lines)]
+        for pieces, between, per, marked in groups:
+            if not pieces:
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(marked[ids])
+            cuts = np.concatenate([[0], at[per - 1 :: per] + 1]) if between else np.append(at, len(ids))
+            if len(cuts) != len(pieces) + 1 or cuts[-1] != len(ids) or cuts[0]:
+                rest += pieces
+                continue
+            data, where = ids.tobytes(), (4 * cuts).tolist()
+            for p, a, b in zip(pieces, where, where[1:], strict=False):
+                to[p] = data[a:b]
+        for p, ids in zip(rest, self._whole(rest), strict=True):
+            to[p] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is empty."""
-        cut = [self._pieces(t or "") for t in texts]
+        texts = [t or "" for t in texts]
+        lists = self._pieces(pa.array(texts, pa.large_string()))
+        if lists is None:
+            return self._whole(texts)
+        coded = pc.dictionary_encode(lists.values)
+        pieces = coded.dictionary.to_pylist()
+        if len(self.known) > KEPT_PIECES:
+            self.older, self.known = self.known, {}
         known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        short: set[str] = set()
-        for pieces in cut:
-            short.update(pieces)
-        missing = [p for p in short if p not in known]
-        extra = {}
-        for p, ids in zip(missing, self._whole(missing), strict=True):
-            (known if len(p) <= 64 else extra)[p] = ids
-        if extra:
-            return [b"".join([known[p] if p in known else extra[p] for p in pieces]) for pieces in cut]
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        missing = {p for p in pieces if p not in known}
+        again = missing & self.older.keys()
+        for p in again:
+            known[p] = self.older[p]
+        missing -= again
+        long = {p for p in missing if len(p) > 64}
+        self._learn(missing - long, known)
+        extra: dict[str, bytes] = {}
+        self._learn(long, extra)
+        ids = [known[p] if p in known else extra[p] for p in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes[place])])
+        at = np.repeat(starts[place] - ends[:-1], sizes[place]) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @cache
