@@ -1,4 +1,6 @@
 """All queries over the test tables, and the SQL that an independent engine answers them with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import history, lists, pointintime, rates
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "history", "lists", "pointintime", "rates"]
