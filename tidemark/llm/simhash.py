@@ -71,7 +71,7 @@ def links(uniq: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Covering tables name the buckets that two or more fingerprints share; only their members go on. In a bucket, members
     differ outside its mask alone, and two differ in at most two bits if and only if their one-bit neighbourhoods meet.
-    So each member is filed under itself and its flips at the bits outside the mask; no key holds over 65 fingerprints,
+    So each member is filed under itself and its flips at the bits outside the masks it shares; no key holds over 65 fingerprints,
     however large the bucket, and work grows with members, not with pairs.
     """
     if radius != 2:
@@ -81,9 +81,11 @@ def links(uniq: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = uniq.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "masked"))
     crowded = keyed.groupBy("t", "masked").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "masked")
     members = keyed.join(crowded, ["t", "masked"], "left_semi")
-    outside = F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(BITS) if not m >> i & 1]) for m in masks])
-    near = members.select("fp", F.explode(F.concat(F.array(fp), F.transform(F.get(outside, F.col("t")), lambda bit: fp.bitwiseXOR(bit)))).alias("near"))
-    balls = near.groupBy("near").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    outside = F.array(*[F.lit(_signed(~m & (1 << BITS) - 1)) for m in masks])
+    free = members.select("fp", F.get(outside, F.col("t")).alias("free")).groupBy("fp").agg(F.bit_or("free").alias("free"))
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda bit: bit.bitwiseAND(F.col("free")) != 0)
+    near = free.select("fp", F.explode(F.concat(F.array(fp), F.transform(bits, lambda bit: fp.bitwiseXOR(bit)))).alias("near"))
+    balls = near.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
     return pairs.where("a != b").distinct()
 
