@@ -28,7 +28,7 @@ _RUNS = r"[\s\p{Z}\x{85}\x1c-\x1f][ \n]|[ \n][\s\p{Z}\x{85}\x1c-\x1f]"
 #: Marks for cuts: the first that no text has.
 _MARKS = ("\0", "\x01", "\x02", "\x03", "\ue000", "\uf8ff")
 #: Texts encoded together: at most so many characters, one text at least.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 12_000_000
 
 
 class Encoder:
@@ -63,7 +63,7 @@ class Encoder:
                 return pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _RUNS), texts, cut), mark)
         return None
 
-    def _learn(self, missing: set[str], to: dict[str, bytes]) -> None:
+    def _learn(self, missing: list[str], to: dict[str, bytes]) -> None:
         """Encodes pieces. Those that stay apart in one text go as one: words of letters, with a run of signs after them or without, part
         where a token ends a word; printable pieces after a space or line feed part where a token starts with it."""
         groups: list[tuple[list[str], str, int, np.ndarray]] = []
@@ -80,10 +80,10 @@ class Encoder:
                     rest.append(p)
             groups = [(plain, " ", 1, self.marked), (signed, " ", 2, self.marked)]
         else:
-            spaced: list[str] = []
-            lines: list[str] = []
-            for p in missing:
-                (rest if not p[1:].isprintable() or len(p) < 2 else spaced if p[0] == " " else lines if p[0] == "\n" else rest).append(p)
+            spaced = [p for p in missing if p[:1] == " " and len(p) > 1 and p.isprintable()]
+            others = [p for p in missing if p[:1] != " " or len(p) < 2 or not p.isprintable()]
+            lines = [p for p in others if p[:1] == "\n" and len(p) > 1 and p[1:].isprintable()]
+            rest = [p for p in others if p[:1] != "\n" or len(p) < 2 or not p[1:].isprintable()]
             groups = [(spaced, "", 1, self.marked), (lines, "", 1, self.lines)]
         for pieces, between, per, marked in groups:
             if not pieces:
@@ -95,10 +95,8 @@ class Encoder:
                 rest += pieces
                 continue
             data, where = ids.tobytes(), (4 * cuts).tolist()
-            for p, a, b in zip(pieces, where, where[1:], strict=False):
-                to[p] = data[a:b]
-        for p, ids in zip(rest, self._whole(rest), strict=True):
-            to[p] = ids
+            to.update(zip(pieces, [data[a:b] for a, b in zip(where, where[1:], strict=False)], strict=True))
+        to.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is empty."""
@@ -111,21 +109,23 @@ class Encoder:
         if len(self.known) > KEPT_PIECES:
             self.older, self.known = self.known, {}
         known = self.known
-        missing = {p for p in pieces if p not in known}
-        again = missing & self.older.keys()
-        for p in again:
-            known[p] = self.older[p]
-        missing -= again
-        long = {p for p in missing if len(p) > 64}
-        self._learn(missing - long, known)
+        missing = [p for p in pieces if p not in known]
+        if self.older:
+            known.update([(p, self.older[p]) for p in missing if p in self.older])
+            missing = [p for p in missing if p not in known]
+        long = [p for p in missing if len(p) > 64]
+        if long:
+            missing = [p for p in missing if len(p) <= 64]
+        self._learn(missing, known)
         extra: dict[str, bytes] = {}
         self._learn(long, extra)
-        ids = [known[p] if p in known else extra[p] for p in pieces]
+        ids = [known[p] if p in known else extra[p] for p in pieces] if long else list(map(known.__getitem__, pieces))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         place = coded.indices.to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes[place])])
-        at = np.repeat(starts[place] - ends[:-1], sizes[place]) + np.arange(ends[-1])
+        kind = np.int32 if max(ends[-1], sizes.sum()) < 1 << 31 else np.int64
+        at = np.repeat((starts[place] - ends[:-1]).astype(kind), sizes[place]) + np.arange(ends[-1], dtype=kind)
         data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
         cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
