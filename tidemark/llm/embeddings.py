@@ -108,9 +108,9 @@ def _assign(forest: Forest, leaf: int):
                 own = np.array([i for i, u in enumerate(units) if len(u) == dims])
                 rows, leaves = forest.leaves(np.stack([units[i] for i in own]), depth[own])
                 order = np.lexsort((leaves, rows))
-                ends = np.searchsorted(rows[order], np.arange(len(own) + 1))
+                ends, leaves = np.searchsorted(rows[order], np.arange(len(own) + 1)), leaves[order]
                 for i, a, b in zip(own, ends, ends[1:], strict=False):
-                    lists[i] = leaves[order][a:b]
+                    lists[i] = leaves[a:b]
             names = ["label", "rep", "n", "unit"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lists, pa.list_(pa.int64()))], names=[*names, "leaves"])
 
