@@ -103,7 +103,7 @@ def groups(docs: DataFrame) -> DataFrame:
     linked = uniq.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = linked.groupBy("root").agg(F.min("first_id").alias("best"))
     better = linked.join(best, "root").select("fp", "best")
-    named = uniq.join(better, "fp", "left").select("fp", F.coalesce("best", "first_id").alias("component_id"))
+    named = written(uniq.join(better, "fp", "left").select("fp", F.coalesce("best", "first_id").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
