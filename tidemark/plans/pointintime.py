@@ -163,13 +163,13 @@ def id_canonicalize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(entity.canonical(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(".0 "))).alias("id"), "c_name")
 
 
-@query("""WITH c AS (SELECT 'customer' AS id_type, c_nationkey % 5 AS source_id, c_custkey AS entity, CAST(c_custkey / 40 AS BIGINT) % 3 AS p FROM customer WHERE c_custkey % 37 = 5),
+@query("""WITH c AS (SELECT 'customer' AS id_type, c_nationkey % 5 AS source_id, c_custkey AS entity, (c_custkey // 40) % 3 AS p FROM customer WHERE c_custkey % 37 = 5),
 b AS (SELECT id_type, source_id, min(p) AS p FROM c GROUP BY ALL)
 SELECT c.id_type, c.source_id, CASE WHEN min(entity) = max(entity) THEN min(entity) END AS entity, count(DISTINCT entity) AS n_entities
 FROM c JOIN b ON c.id_type = b.id_type AND c.source_id = b.source_id AND c.p = b.p GROUP BY ALL""")
 def bridge_resolve(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_custkey % 37 = 5")
-    c = c.select(F.lit("customer").alias("id_type"), (F.col("c_nationkey") % 5).alias("source_id"), F.col("c_custkey").alias("entity"), (F.expr("cast(round(c_custkey / 40, 0) as bigint)") % 3).alias("p"))
+    c = c.select(F.lit("customer").alias("id_type"), (F.col("c_nationkey") % 5).alias("source_id"), F.col("c_custkey").alias("entity"), (F.expr("c_custkey div 40") % 3).alias("p"))
     return entity.bridge(c, "id_type", "source_id", "entity", "p")
 
 
