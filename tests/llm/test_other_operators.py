@@ -87,6 +87,7 @@ def test_main_text_of_known_pages():
         ('<main><div class="content"><p>x</p><ul><li>l1<li>l2</ul></div><section id="comments"><p>first!</p></section></main>', "x\nl1\nl2"),
         ('<div class="post-body"><p>p1</p><div class="share-links">Tweet</div><p>p2<!-- c --></p></div>', "p1\np2"),
         ("<article><p>unclosed &eacute;&#8364;&nbsp;x", "unclosed é€ x"),
+        ('<div class="layout with-sidebar" data-id="ad"><article class="post has-comments"><header><h1>T</h1></header><p>x</p></article><article class="comment"><p>me too</p></article></div>', "T\nx"),
         ("<article></article>", ""),
     ]
     for body, want in cases:

@@ -39,12 +39,16 @@ MAIN = {"article", "main"}
 BREAKS_P = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "dl", "table", "pre", "blockquote", "section", "article", "main", "nav", "footer", "aside", "header", "form", "hr", "figure", "fieldset", "address", "details"}
 #: Words of class, id or role that name what is not main text.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|respond|disqus|replies|reply|pagination|pager|search|login|signup|toolbar|skip|copyright|contentinfo|complementary|navigation)(?=$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|header|masthead|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|respond|disqus|replies|reply|pagination|pager|search|login|signup|toolbar|skip|copyright|contentinfo|complementary|navigation|alert|teaser)(?=$|[\s_\d-])",
     re.I,
 )
+#: Of an article or main element only these words say that it isn't main text.
+BOILER_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser)(?=$|[\s_\d-])", re.I)
+#: Names of a layout, not of what an element is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:with|has|no|without|is|layout|show|hide)[-_]\S*", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body)(?=$|[\s_\d-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _WHITE = re.compile(r"\s+")
 #: A fixed text is template only in a wrapper of so many pages.
 TEMPLATE_PAGES = 8
@@ -69,8 +73,9 @@ def _role(tag: str, names: str, hidden: bool, inside: str) -> str:
     """Role of an element in an element of role `inside`: body, content, drop."""
     if inside == "drop" or hidden or tag in CHROME or tag in RAW:
         return "drop"
+    names = LAYOUT.sub("", names)
     if tag in MAIN:
-        return "content"
+        return "drop" if BOILER_MAIN.search(names) else "content"
     if tag == "header" and inside != "content" or names and tag not in ("body", "html") and BOILER.search(names):
         return "drop"
     if names and tag in ("div", "section", "td") and CONTENT.search(names):
