@@ -11,6 +11,7 @@ tests/llm/test_tokens.py holds both against encoding whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import string
 from collections.abc import Iterable, Iterator
@@ -28,7 +29,15 @@ _RUNS = r"[\s\p{Z}\x{85}\x1c-\x1f][ \n]|[ \n][\s\p{Z}\x{85}\x1c-\x1f]"
 #: Marks for cuts: the first that no text has.
 _MARKS = ("\0", "\x01", "\x02", "\x03", "\ue000", "\uf8ff")
 #: Texts encoded together: at most so many characters, one text at least.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 7_000_000
+
+
+def give_back() -> None:
+    """Freed memory to the system: workers outlive their tasks, and an executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 class Encoder:
@@ -120,15 +129,22 @@ class Encoder:
         extra: dict[str, bytes] = {}
         self._learn(long, extra)
         ids = [known[p] if p in known else extra[p] for p in pieces] if long else list(map(known.__getitem__, pieces))
+        place, firsts = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        del lists, coded, pieces, missing  # what follows is as large as they are
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        place = coded.indices.to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.concatenate([[0], np.cumsum(sizes[place])])
-        kind = np.int32 if max(ends[-1], sizes.sum()) < 1 << 31 else np.int64
-        at = np.repeat((starts[place] - ends[:-1]).astype(kind), sizes[place]) + np.arange(ends[-1], dtype=kind)
-        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
-        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        kind = np.int32 if max(ends[-1], starts[-1]) < 1 << 31 else np.int64
+        at = np.repeat((starts[place] - ends[:-1]).astype(kind), sizes[place])
+        at += np.arange(ends[-1], dtype=kind)
+        cuts = (4 * ends[firsts]).tolist()
+        del place, ends
+        data = memoryview(np.frombuffer(b"".join(ids), "<u4")[at]).cast("B")
+        del at
+        out = [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        del data, ids
+        give_back()
+        return out
 
 
 @cache
