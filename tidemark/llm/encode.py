@@ -29,7 +29,7 @@ _RUNS = r"[\s\p{Z}\x{85}\x1c-\x1f][ \n]|[ \n][\s\p{Z}\x{85}\x1c-\x1f]"
 #: Marks for cuts: the first that no text has.
 _MARKS = ("\0", "\x01", "\x02", "\x03", "\ue000", "\uf8ff")
 #: Texts encoded together: at most so many characters, one text at least.
-CHUNK_CHARS = 7_000_000
+CHUNK_CHARS = 11_000_000
 
 
 def give_back() -> None:
