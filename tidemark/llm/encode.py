@@ -30,6 +30,10 @@ _RUNS = r"[\s\p{Z}\x{85}\x1c-\x1f][ \n]|[ \n][\s\p{Z}\x{85}\x1c-\x1f]"
 _MARKS = ("\0", "\x01", "\x02", "\x03", "\ue000", "\uf8ff")
 #: Texts encoded together: at most so many characters, one text at least.
 CHUNK_CHARS = 11_000_000
+#: Pieces that the tokenizer learns in one call; what it holds for a call is many times their size.
+LEARNT_TOGETHER = 32_768
+#: Rows of a batch that are Python objects at one time, before they join a chunk.
+ROWS_TOGETHER = 64
 
 
 def give_back() -> None:
@@ -94,9 +98,8 @@ class Encoder:
             lines = [p for p in others if p[:1] == "\n" and len(p) > 1 and p[1:].isprintable()]
             rest = [p for p in others if p[:1] != "\n" or len(p) < 2 or not p[1:].isprintable()]
             groups = [(spaced, "", 1, self.marked), (lines, "", 1, self.lines)]
-        for pieces, between, per, marked in groups:
-            if not pieces:
-                continue
+        parts = [(pieces[i : i + LEARNT_TOGETHER], *how) for pieces, *how in groups for i in range(0, len(pieces), LEARNT_TOGETHER)]
+        for pieces, between, per, marked in parts:
             ids = np.array(self.tokenizer.encode_batch_fast([between.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(marked[ids])
             cuts = np.concatenate([[0], at[per - 1 :: per] + 1]) if between else np.append(at, len(ids))
@@ -105,7 +108,9 @@ class Encoder:
                 continue
             data, where = ids.tobytes(), (4 * cuts).tolist()
             to.update(zip(pieces, [data[a:b] for a, b in zip(where, where[1:], strict=False)], strict=True))
-        to.update(zip(rest, self._whole(rest), strict=True))
+        for i in range(0, len(rest), LEARNT_TOGETHER):
+            some = rest[i : i + LEARNT_TOGETHER]
+            to.update(zip(some, self._whole(some), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is empty."""
@@ -153,14 +158,22 @@ def encoder(path: str, cut: str) -> Encoder:
     return Encoder(path, cut)
 
 
-def chunks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text) of every row; a batch of long texts is never held twice."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_TOGETHER):
+            some = batch.slice(i, ROWS_TOGETHER)
+            yield from zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True)
+
+
+def chunks(rows: Iterable[tuple], chars: int = CHUNK_CHARS) -> Iterator[list[tuple]]:
     """Rows (..., text) in lists of a bounded number of characters."""
     some: list[tuple] = []
     size = 0
     for row in rows:
         some.append(row)
         size += len(row[-1] or "")
-        if size >= CHUNK_CHARS:
+        if size >= chars:
             yield some
             some, size = [], 0
     if some:

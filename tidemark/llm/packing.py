@@ -14,10 +14,13 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import table, tokenizer_path
 from tidemark.llm.encode import chunks, encoder
+from tidemark.llm.encode import rows as texts
 
 WINDOW = 2048
 #: Above so many open windows a packer settles them, so its memory is bounded whatever the lengths are.
 MAX_OPEN = 1024
+#: Texts encoded together, in characters: fewer than elsewhere, as a chunk's pieces are held beside them.
+CHUNK_CHARS = 6_000_000
 END_ID = 1
 
 SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -149,8 +152,7 @@ def _pack(path: str, cut: str, end_id: int, window: int, with_ids: bool):
                 kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
 
-        texts = (row for b in batches for row in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
-        for some in chunks(texts):
+        for some in chunks(texts(batches), CHUNK_CHARS):
             done: list[list[Piece]] = []
             for (doc_id, _), ids in zip(some, code.encode([t for _, t in some]), strict=True):
                 done += packer.add(doc_id, ids + end)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_dir, table, tokenizer_path
 from tidemark.llm.encode import chunks, encoder
+from tidemark.llm.encode import rows as texts
 
 MAGIC = b"TMSST001"
 BLOCK_BYTES = 64 << 10
@@ -183,10 +184,9 @@ def _writes(folder: str, path: str, cut: str, end_id: int):
         code, shard = encoder(path, cut), TaskContext.get().partitionId()
         store, root = pafs.FileSystem.from_uri(folder)
         name, part = f"shard-{shard:06d}.sst", f"{root}/.part-{uuid.uuid4().hex}"
-        texts = (row for b in batches for row in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
         with store.open_output_stream(part) as out:
             to = Writer(out, 2 if code.tokenizer.get_vocab_size() <= 1 << 16 else 4)
-            for some in chunks(texts):
+            for some in chunks(texts(batches)):
                 for (doc_id, _), ids in zip(some, code.encode([t for _, t in some]), strict=True):
                     to.add(key_of(doc_id), ids + end)
             to.finish()
