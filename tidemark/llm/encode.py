@@ -6,7 +6,7 @@ pieces' joined. That gives the ids of encoding the whole text, since neither voc
 - lower-casing vocabulary with word ends: white space parts words and is dropped;
 - byte-level vocabulary: a space or line feed between two words starts a piece. Texts where it touches other white space are encoded whole.
 
-tests/llm/test_tokens.py holds both against encoding whole texts.
+tests/llm/test_text_operators.py holds both against encoding whole texts.
 """
 
 from __future__ import annotations
