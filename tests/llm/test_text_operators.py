@@ -239,6 +239,14 @@ def test_quality_against_sql(spark):
     assert quality.verdicts(documents(spark, [])).count() == 0
 
 
+def test_clean_counts_distinct_documents(spark):
+    line = min((f"read more at {k}" for k in range(3000)), key=lambda x: hashlib.md5(x.encode()).digest())
+    docs = [(k, prose(100 + k, 60) + "\n" + line + "\n" + prose(400 + k, 10), "a") for k in range(30)] + [(100 + k, prose(1, 90) + "\n" + prose(2, 90), "a") for k in range(40)]
+    texts = {r.doc_id: r.text for r in quality.clean(documents(spark, docs)).collect()}
+    assert len(texts) == 70 and not any(line in texts[k] for k in range(30))
+    assert all(texts[100 + k] == docs[-1][1] for k in range(40))  # copies are one document
+
+
 def brute_repeats(text):
     w = WORD.findall(text or "")
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

@@ -40,10 +40,11 @@ def normalised_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text, source): the base figures, `base_failed`, and `lines`: (hash, words) of each line that has a word.
 
-    A null text has no words. Repeated rows stay. Windows are compared by 64-bit hashes.
+    A null text has no words. Repeated rows stay. Windows are compared by 64-bit hashes. `family`: the smallest line hash (as the SQL of op5 has it),
+    or with `whole` the hash of all normalised lines, which only copies of a text share.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cut = own.select(
@@ -69,6 +70,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         windows.alias("windows"),
         F.transform("full", normalised_line).alias("norm"),
     )
+    family = F.when(F.size("norm") > 0, F.array_join("norm", "\n")) if whole else F.array_min(F.transform("norm", lambda x: F.md5(x)))
     counted = _with_repeat_words(wide).select(
         "doc_id",
         "source",
@@ -78,7 +80,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        F.array_min(F.transform("norm", lambda x: F.md5(x))).alias("family"),
+        family.alias("family"),
         F.transform("norm", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -88,8 +90,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line) of lines above the limits.
 
-    Documents are counted once for each family, the smallest line hash they hold: copies and near copies of a text share it,
-    so a text is not boilerplate for having been copied. Rows meet per (host, line, family) first, then per (host, line).
+    Documents are counted once for each family of statistics(), so a text is not boilerplate for having been copied.
+    Rows meet per (host, line, family) first, then per (host, line).
     """
     host = F.xxhash64("source")  # one host of its own for null
     held = stats.select(host.alias("host"), "family", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
@@ -98,12 +100,12 @@ def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float
     return per_line.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("of_docs")).select("host", "line")
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, whole: bool = False) -> DataFrame:
     """statistics() with `removed_words` (in lines above the limits), `removed_lines` (their hashes), `kept`.
 
     kept: not base_failed and at least min_left of the words are in lines that stay. A null source is a host of its own.
     """
-    stats = written(statistics(docs))
+    stats = written(statistics(docs, whole))
     common = written(frequent_lines(stats, min_docs, max_share))
     held = stats.select("doc_id", "row_hash", F.xxhash64("source").alias("host"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     hit = held.join(common, ["host", "line"]).groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("gone"))
@@ -126,9 +128,9 @@ def without_lines(text: Column, gone: Column) -> Column:
 def clean(docs: DataFrame) -> DataFrame:
     """docs without rejected documents, and without lines above the limits in those that stay; n_chars follows the text.
 
-    Columns of docs stay as they are otherwise. Repeated rows are judged alike.
+    Columns of docs stay as they are otherwise. Repeated rows are judged alike. A line counts once for each distinct whole text.
     """
-    judged = verdicts(docs).where("kept").select(F.col("doc_id").alias("_tm_id"), F.col("row_hash").alias("_tm_hash"), F.col("removed_lines").alias("_tm_gone"))
+    judged = verdicts(docs, whole=True).where("kept").select(F.col("doc_id").alias("_tm_id"), F.col("row_hash").alias("_tm_hash"), F.col("removed_lines").alias("_tm_gone"))
     judged = judged.dropDuplicates(["_tm_id", "_tm_hash"])
     own = docs.withColumns({"_tm_doc": F.col("doc_id").cast("long"), "_tm_own": F.xxhash64("source", F.coalesce(F.col("text").cast("string"), F.lit("")))})
     both = own.join(judged, F.col("_tm_doc").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_own") == F.col("_tm_hash")))
