@@ -47,6 +47,25 @@ def test_one_leaf_in_blocks_is_exact(spark):
         assert found == want
 
 
+def test_dense_group_keeps_its_links_at_any_size():
+    r = np.random.default_rng(2)
+    for n in (6_000, 60_000):
+        for cosine in (0.91, 0.94, 0.96):
+            centre = r.standard_normal(64)
+            spread = np.linalg.norm(centre) * np.sqrt((1 / cosine - 1) / 64)
+            x = np.concatenate([centre + spread * r.standard_normal((n // 3, 64)), r.standard_normal((n - n // 3, 64))])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            depth = int(np.ceil(np.log2(n / embeddings.LEAF)))
+            forest = embeddings.Forest(x[r.permutation(n)[: embeddings.SAMPLE]], depth)
+            some = x[:600]
+            met = np.zeros((600, 600), bool)
+            rows, leaves = forest.leaves(some, np.full(600, depth))
+            for leaf in np.unique(leaves):
+                met[np.ix_(rows[leaves == leaf], rows[leaves == leaf])] = True
+            link = np.triu(some @ some.T >= embeddings.THRESHOLD, 1)
+            assert met[link].mean() >= 0.99, (n, cosine)
+
+
 PAGES = "page_id long, url string, html string, host string, regions string"
 URLS = [None, "", "x", "http://a.com/en/7", "http://EXAMPLE.com/en/74?x#y", "https://b.example.com/en/8", "http://com", "http://net/de/", "http://x.net/de", "http://example.net/de/8/9", "http://notexample.com/en/7", "http://a.org/es/", "http://spam-farm.example.org", "http://q.spam-farm.example.org?x", "http://a.spam-farm.example.org/es/1", "ftp://u@h.com:80/en/", "a://b://c", "http://É.com/en/\n/x", "http:///en/7", "http://h#/en/", "https://example.com/en/7", "http://.com/en/1", "http://com/en"]
 

@@ -35,24 +35,33 @@ def direction(seed: int, tree: int, level: int, dims: int) -> np.ndarray:
 
 
 class Forest:
-    """Per tree and level one random direction, per node a threshold (the sample's median there) and a spill margin."""
+    """Per tree and level one random direction, per node a threshold (the sample's median there) and a spill margin.
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = SEED) -> None:
+    The margin is no smaller than half the typical difference, in one direction, of two vectors at the threshold. A node whose
+    vectors have a mean cosine of about the threshold is dense: any cut would part links, so it is a leaf, however large.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = SEED, threshold: float = THRESHOLD) -> None:
         self.depth, self.trees, self.spill, self.seed = depth, trees, spill, seed
         self.dims = sample.shape[1] if sample.ndim == 2 else 0
         self.fitted = min(depth, max(0, int(math.log2(max(1, len(sample)) / 32))))
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        least = math.sqrt(2 * max(0.0, 1 - threshold) / max(1, self.dims)) / 2
+        dense = 1 - 2 * (1 - threshold)
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
         for t in range(trees):
             at, levels = np.zeros(len(sample), np.int64), []
             for level in range(depth):
                 p = sample @ direction(seed, t, level, self.dims) if self.dims else np.zeros(len(sample))
                 n = 1 << min(level, self.fitted)
-                cut, margin = np.zeros(n), np.zeros(n)
+                cut, margin, whole = np.zeros(n), np.zeros(n), np.zeros(n, bool)
                 for k in range(n):
-                    own = p[at == k] if level < self.fitted else p
+                    here = at == k if level < self.fitted else np.ones(len(p), bool)
+                    own = p[here]
                     if len(own):
-                        cut[k], margin[k] = np.median(own), spill * own.std()
-                levels.append((cut, margin))
+                        cut[k], margin[k] = np.median(own), max(least, spill * own.std())
+                        if level < self.fitted and len(own) > 1:  # the mean cosine of its pairs
+                            whole[k] = (np.square(sample[here].sum(axis=0)).sum() - len(own)) / (len(own) * (len(own) - 1)) >= dense
+                levels.append((cut, margin, whole))
                 if level < self.fitted:
                     at = at * 2 + (p > cut[at])
             self.nodes.append(levels)
@@ -69,8 +78,12 @@ class Forest:
                 rows, path = rows[going], path[going]
                 p = (x @ direction(self.seed, t, level, x.shape[1]))[rows]
                 if x.shape[1] == self.dims and level < self.depth:
-                    cut, margin = self.nodes[t][level]
+                    cut, margin, whole = self.nodes[t][level]
                     k = path - (1 << level) if level < self.fitted else np.zeros(len(path), np.int64)
+                    ends = whole[k]
+                    rows_out.append(rows[ends])
+                    leaf_out.append(path[ends] * self.trees + t)
+                    rows, path, p, k = rows[~ends], path[~ends], p[~ends], k[~ends]
                     c, m = cut[k], margin[k]
                 else:
                     c, m = np.zeros(len(p)), np.full(len(p), self.spill / math.sqrt(x.shape[1]))
@@ -187,7 +200,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     some = [np.frombuffer(bytes(r.unit), "<f8") for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").collect()]
     dims = max({len(s) for s in some}, key=lambda d: (sum(len(s) == d for s in some), d), default=0)
     fitted = np.stack([s for s in some if len(s) == dims]) if dims else np.zeros((0, 0))
-    forest = Forest(fitted, min(MAX_DEPTH, math.ceil(math.log2(max(1, largest / leaf)))), trees, spill)
+    forest = Forest(fitted, min(MAX_DEPTH, math.ceil(math.log2(max(1, largest / leaf)))), trees, spill, threshold=threshold)
     placed = written(
         reps.join(per_label.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).select("label", "rep", "n", "unit", "label_n").mapInArrow(_assign(forest, leaf), "label long, rep long, n long, unit binary, leaves array<long>")
     )
