@@ -126,6 +126,21 @@ def test_wrappers_find_template_text_where_elements_say_nothing(spark):
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_wrappers_decide_beside_names():
+    def read(bodies):
+        pages = [html.blocks(page(b)) for b in bodies]
+        whole = html.fold(pages[0])
+        for one in pages[1:]:
+            whole = html.align(whole, html.fold(one))
+        return [html.extract(one, html.regions(whole)) for one in pages]
+
+    fixed = read([f"<article><h1>{prose(k, 3)}</h1><p>{prose(50 + k, 9)}</p><div>Tell your friends</div></article>" for k in range(20)])
+    assert fixed == [f"{prose(k, 3)}\n{prose(50 + k, 9)}" for k in range(20)]
+    hidden = read([f'<div class="story"><p>Win a prize</p></div><div><p>{prose(k, 30)}</p></div>' for k in range(20)])
+    assert hidden == [prose(k, 30) for k in range(20)]
+    assert read(["<article><p>the same</p></article>"] * 20) == ["the same"] * 20
+
+
 def test_alignment_merges_in_any_order():
     a, b, c = (html.fold(html.blocks(x)) for x in ("<nav>m</nav><p>a</p><p>b</p>", "<nav>m</nav><div>ad</div><p>c</p>", "<nav>m</nav><p>d</p><div>ad</div>"))
     whole = html.align(html.align(a, b), c)

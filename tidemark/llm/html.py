@@ -217,30 +217,38 @@ def align(a: dict, b: dict) -> dict:
 
 
 def regions(wrapper: dict) -> dict[str, str]:
-    """Element path: role, for the paths of a wrapper. Elements that say what they are keep their role. If some are content, all that say
-    nothing are boilerplate; else those of a variable text that isn't mostly links are content, and also all, if that leaves none."""
+    """Element path: role, for the paths of a wrapper. Names are a prior: what they call boilerplate is dropped. Else, in a wrapper of
+    TEMPLATE_PAGES pages, a slot that is fixed on most pages is template, in elements named content too, and a variable slot that isn't mostly
+    links is content, beside those too. In a wrapper of fewer pages, if some elements are named content, all that say nothing are boilerplate.
+    Where this leaves none, names decide, and without names all is content."""
     roles: dict[str, str] = {}
     for path, _, role, *_ in wrapper["items"]:
         roles[path] = role
-    if "content" in roles.values():
-        return {p: "content" if r == "content" else "drop" for p, r in roles.items()}
+    named = {p for p, r in roles.items() if r == "content"}
     fixed: dict[str, bool] = {}
+    varied: set[str] = set()
     many = wrapper["n"] >= TEMPLATE_PAGES
-    for path, texts, _, words, links, pages, _, _ in wrapper["items"]:
-        boiler = links * 2 > words or many and texts is not None and pages * 2 > wrapper["n"]
+    for path, texts, role, words, links, pages, _, _ in wrapper["items"]:
+        linked = role != "content" and links * 2 > words
+        boiler = linked or many and texts is not None and pages * 2 > wrapper["n"]
         fixed[path] = fixed.get(path, True) and boiler
+        if many and texts is None and not linked:
+            varied.add(path)
+    if named:
+        open_paths = {p for p in named if not fixed[p]} | {p for p in varied if roles[p] == "body"} or named
+        return {p: "content" if p in open_paths else "drop" for p in roles}
     open_paths = {p for p, r in roles.items() if r == "body" and not fixed[p]} or {p for p, r in roles.items() if r == "body"}
     return {p: "content" if p in open_paths else "drop" for p in roles}
 
 
 def extract(page: list[tuple[str, str, str, int, int]], known: dict[str, str]) -> str:
-    """Main text of a page under its host's regions. A page with elements that name themselves content is read by them."""
+    """Main text of a page under its host's regions. In paths that these don't have, elements that name themselves content are read, or, if the page has none, all."""
     own = any(b[1] == "content" for b in page)
     kept = []
     for path, role, text, _, _ in page:
         if role == "drop":
             continue
-        if role == "content" if own else known.get(path, "content") == "content":
+        if known.get(path, "content" if role == "content" or not own else "drop") == "content":
             kept.append(text)
     if not own and not kept:
         kept = [text for _, role, text, _, _ in page if role == "body"]
