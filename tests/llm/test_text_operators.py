@@ -239,12 +239,22 @@ def test_quality_against_sql(spark):
     assert quality.verdicts(documents(spark, [])).count() == 0
 
 
-def test_clean_counts_distinct_documents(spark):
+def test_lines_are_counted_by_distinct_documents(spark):
     line = min((f"read more at {k}" for k in range(3000)), key=lambda x: hashlib.md5(x.encode()).digest())
     docs = [(k, prose(100 + k, 60) + "\n" + line + "\n" + prose(400 + k, 10), "a") for k in range(30)] + [(100 + k, prose(1, 90) + "\n" + prose(2, 90), "a") for k in range(40)]
     texts = {r.doc_id: r.text for r in quality.clean(documents(spark, docs)).collect()}
     assert len(texts) == 70 and not any(line in texts[k] for k in range(30))
     assert all(texts[100 + k] == docs[-1][1] for k in range(40))  # copies are one document
+    judged = {r.doc_id: r.removed_words for r in quality.verdicts(documents(spark, docs)).collect()}
+    assert judged == {k: 4 if k < 100 else 0 for k, _, _ in docs}
+
+
+def test_a_long_line_alone_in_copies_and_a_line_of_many_documents(spark):
+    copies = [(k, prose(5, 60), "a") for k in range(1000)]
+    assert all(r.kept for r in quality.verdicts(documents(spark, copies)).collect())
+    some = [(k, prose(100 + k, 50) + ("\nshare" if k % 50 == 0 else ""), "a") for k in range(1100)]  # 22 documents: 2 % of the host's
+    count = lambda **limits: sum(r.removed_words for r in quality.verdicts(documents(spark, some), **limits).collect())
+    assert count() == 0 and count(many_docs=21) == 22
 
 
 def brute_repeats(text):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, words, written
 
-#: A line is boilerplate in its host when over MIN_DOCS distinct documents and over MAX_SHARE of the host's documents have it.
+#: A line is boilerplate in its host when over MIN_DOCS distinct documents have it, and over MAX_SHARE of the host's or over MANY_DOCS.
 MIN_DOCS = 20
 MAX_SHARE = 0.02
+MANY_DOCS = 10_000
 #: A document is depleted when less than this share of its words is left.
 MIN_LEFT = 0.5
 MIN_WORDS = 50
@@ -40,11 +41,11 @@ def normalised_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
-def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+def statistics(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text, source): the base figures, `base_failed`, and `lines`: (hash, words) of each line that has a word.
 
-    A null text has no words. Repeated rows stay. Windows are compared by 64-bit hashes. `family`: the smallest line hash (as the SQL of op5 has it),
-    or with `whole` the hash of all normalised lines, which only copies of a text share.
+    A null text has no words. Repeated rows stay. Windows are compared by 64-bit hashes. `content`: the hash of all normalised lines in
+    order, which copies of a text share and other texts don't; null without a line.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cut = own.select(
@@ -70,7 +71,6 @@ def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
         windows.alias("windows"),
         F.transform("full", normalised_line).alias("norm"),
     )
-    family = F.when(F.size("norm") > 0, F.array_join("norm", "\n")) if whole else F.array_min(F.transform("norm", lambda x: F.md5(x)))
     counted = _with_repeat_words(wide).select(
         "doc_id",
         "source",
@@ -80,33 +80,33 @@ def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        family.alias("family"),
+        F.when(F.size("norm") > 0, F.xxhash64(F.array_join("norm", "\n"))).alias("content"),
         F.transform("norm", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n"))).alias("lines"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("family", F.when(F.col("family").isNotNull(), F.xxhash64("family")))
+    return counted.withColumn("base_failed", failed)
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line) of lines above the limits.
+def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS) -> DataFrame:
+    """(host, line) of lines above the limits, by distinct documents: copies of one text are one document.
 
-    Documents are counted once for each family of statistics(), so a text is not boilerplate for having been copied.
-    Rows meet per (host, line, family) first, then per (host, line).
+    Rows meet per (host, line, content) first, so a line of a third of all rows is counted in parts, then per (host, line).
     """
     host = F.xxhash64("source")  # one host of its own for null
-    held = stats.select(host.alias("host"), "family", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    held = stats.select(host.alias("host"), "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     per_line = held.distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = stats.where("family is not null").select(host.alias("host"), "family").distinct().groupBy("host").agg(F.count("*").alias("of_docs"))
-    return per_line.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("of_docs")).select("host", "line")
+    hosts = stats.where("content is not null").select(host.alias("host"), "content").distinct().groupBy("host").agg(F.count("*").alias("of_docs"))
+    above = (F.col("n_docs") > max_share * F.col("of_docs")) | (F.col("n_docs") > many_docs)
+    return per_line.join(hosts, "host").where(above).select("host", "line")
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, whole: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, many_docs: int = MANY_DOCS) -> DataFrame:
     """statistics() with `removed_words` (in lines above the limits), `removed_lines` (their hashes), `kept`.
 
     kept: not base_failed and at least min_left of the words are in lines that stay. A null source is a host of its own.
     """
-    stats = written(statistics(docs, whole))
-    common = written(frequent_lines(stats, min_docs, max_share))
+    stats = written(statistics(docs))
+    common = written(frequent_lines(stats, min_docs, max_share, many_docs))
     held = stats.select("doc_id", "row_hash", F.xxhash64("source").alias("host"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     hit = held.join(common, ["host", "line"]).groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("gone"))
     hit = hit.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("row_hash", "hit_hash")
@@ -128,9 +128,9 @@ def without_lines(text: Column, gone: Column) -> Column:
 def clean(docs: DataFrame) -> DataFrame:
     """docs without rejected documents, and without lines above the limits in those that stay; n_chars follows the text.
 
-    Columns of docs stay as they are otherwise. Repeated rows are judged alike. A line counts once for each distinct whole text.
+    Columns of docs stay as they are otherwise. Repeated rows are judged alike.
     """
-    judged = verdicts(docs, whole=True).where("kept").select(F.col("doc_id").alias("_tm_id"), F.col("row_hash").alias("_tm_hash"), F.col("removed_lines").alias("_tm_gone"))
+    judged = verdicts(docs).where("kept").select(F.col("doc_id").alias("_tm_id"), F.col("row_hash").alias("_tm_hash"), F.col("removed_lines").alias("_tm_gone"))
     judged = judged.dropDuplicates(["_tm_id", "_tm_hash"])
     own = docs.withColumns({"_tm_doc": F.col("doc_id").cast("long"), "_tm_own": F.xxhash64("source", F.coalesce(F.col("text").cast("string"), F.lit("")))})
     both = own.join(judged, F.col("_tm_doc").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_own") == F.col("_tm_hash")))
@@ -141,6 +141,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verdicts() of all documents: the base figures, the words in lines above the limits, and whether the document stays."""
     judged = verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
@@ -160,12 +161,11 @@ s AS (SELECT w.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length
              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(z.n, 0) AS BIGINT) AS n_repeat_words,
              list_transform(l, lambda x: lower(trim(regexp_replace(x, '{_S}', ' ', 'g')))) AS norm
       FROM w LEFT JOIN z ON w.r = z.r),
-f AS (SELECT *, list_min(list_transform(norm, lambda x: md5(x))) AS family,
-             n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-e AS (SELECT r, source, family, unnest(norm) AS line FROM f),
-c AS (SELECT source, line, count(DISTINCT family) AS n FROM e GROUP BY source, line HAVING count(DISTINCT family) > {MIN_DOCS}),
-h AS (SELECT source, count(DISTINCT family) AS m FROM f GROUP BY source),
-g AS (SELECT c.source, line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n > {MAX_SHARE} * m),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+e AS (SELECT r, source, norm, unnest(norm) AS line FROM f),
+c AS (SELECT source, line, count(DISTINCT norm) AS n FROM e GROUP BY source, line),
+h AS (SELECT source, count(DISTINCT norm) AS m FROM f WHERE len(norm) > 0 GROUP BY source),
+g AS (SELECT c.source, line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n > {MIN_DOCS} AND (n > {MAX_SHARE} * m OR n > {MANY_DOCS})),
 q AS (SELECT r, sum(len(string_split(e.line, ' '))) AS gone FROM e JOIN g ON e.line = g.line AND e.source IS NOT DISTINCT FROM g.source GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words - coalesce(gone, 0) >= {MIN_LEFT} * n_words AS kept, CAST(coalesce(gone, 0) AS BIGINT) AS removed_words
