@@ -354,23 +354,35 @@ def test_mixing(spark):
     assert Counter(found) == Counter(mixing.mix(documents(spark, docs)).collect())
     out = mixing.mixed(documents(spark, docs))
     assert out.columns == documents(spark, []).columns and out.count() == sum(x["copies"] for x in found)
+    assert Counter(map(tuple, documents(spark, docs).collect())).keys() >= Counter(map(tuple, out.collect())).keys()
     assert mixing.mix(documents(spark, [])).count() == 0
     assert {x["copies"] for x in mixing.mix(documents(spark, [(1, None, None), (2, "", "q")])).collect()} == {0}
 
 
-def test_fit_hits_reachable_budgets():
+def words_of(n, take):
+    return sum(a * k for a, k in zip(n, take, strict=True))
+
+
+def test_fit_finds_the_best_sum():
     import random
 
     r = random.Random(1)
-    for _ in range(150):
-        n = r.sample(range(1, 30), r.randint(1, 5))
-        c = [r.randint(1, 4) for _ in n]
-        reach = {0}
-        for a, k in zip(n, c, strict=True):
-            reach = {x + a * j for x in reach for j in range(k + 1)}
-        budget = r.randint(0, sum(a * k for a, k in zip(n, c, strict=True)))
+    for k in range(2000):
+        n = r.sample(range(1, 30 if k % 2 else 400), r.randint(1, 6))
+        c = [r.randint(0, 4 if k % 3 else 30) for _ in n]
+        reach = 1
+        for a, m in zip(n, c, strict=True):
+            for _ in range(m):
+                reach |= reach << a
+        budget = r.randint(0, words_of(n, c) + 1)
         take = mixing.fit(n, c, budget)
-        got = sum(a * k for a, k in zip(n, take, strict=True))
-        assert all(0 <= k <= m for k, m in zip(take, c, strict=True)) and got <= budget
-        assert budget - got <= max(n)
-    assert mixing.fit([5, 3], [1000, 1000], 4001, dp_words=50) and sum(a * b for a, b in zip([5, 3], mixing.fit([5, 3], [1000, 1000], 4001, dp_words=50), strict=True)) == 4001
+        assert all(0 <= x <= m for x, m in zip(take, c, strict=True))
+        assert words_of(n, take) == (reach & (1 << budget + 1) - 1).bit_length() - 1, (n, c, budget)
+
+
+def test_fit_of_many_documents():
+    assert words_of([5, 3], mixing.fit([5, 3], [1000, 1000], 4001)) == 4001
+    assert words_of([1000, 3], mixing.fit([1000, 3], [10**7, 1], 5 * 10**9 + 2)) == 5 * 10**9
+    assert words_of([998, 1000], mixing.fit([998, 1000], [10**6, 2], 10**8 + 7)) == 99_999_604
+    lengths = list(range(1, 20_000, 3))
+    assert words_of(lengths, mixing.fit(lengths, [7] * len(lengths), 123_456_789)) == 123_456_789

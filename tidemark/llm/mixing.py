@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,53 +17,78 @@ MOST = 2
 SEED = 17
 #: A (source, size) group is dealt over so many parts, each of which picks its share of the group's quota.
 PARTS = 256
-#: The dynamic program fits the last so many words; what is above that is first filled with the longest documents left.
-DP_WORDS = 1 << 17
-#: Of so many of the shortest lengths two documents are given back first, so that the program has parts to fit with.
-BACK_OFF = 64
+#: The dynamic program's first round exchanges so many documents of each of so many of the shortest lengths.
+FIRST_LENGTHS, FIRST_DOCS = 64, 2
+#: Its table has so many cells at most (5 bytes each).
+MOST_CELLS = 1 << 25
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS) -> list[int]:
-    """How many documents of each length to take so that their words come as near below `budget` as can be.
+def _exchange(sizes: list[int], room: list[int], cells: int) -> tuple[int, list[int]]:
+    """The largest sum below `cells` that up to room[i] documents of sizes[i] make, and how many of each make it: a bounded knapsack.
 
-    The same share of every length first, rounded down, less two of the shortest lengths; then, longest first, whole documents while over dp_words remain; then a
-    bounded knapsack over the rest: bit r of `reach` says that r words can be made, each length standing in powers of two of its count.
+    A length stands in powers of two of its room. first[r]: the step that reached r; r less that step was reached before it.
+    """
+    reach, first = np.zeros(cells, bool), np.full(cells, -1, np.int32)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
+    for i, n in enumerate(sizes):
+        left, part = room[i], 1
+        while left and not reach[-1]:
+            part = min(part, left)
+            if n * part < cells:
+                new = np.flatnonzero(reach[: -n * part] & ~reach[n * part :]) + n * part
+                first[new] = len(steps)
+                reach[new] = True
+                steps.append((i, part))
+            left -= part
+            part *= 2
+    at = best = int(np.flatnonzero(reach)[-1])
+    used = [0] * len(sizes)
+    while at:
+        i, part = steps[first[at]]
+        used[i] += part
+        at -= sizes[i] * part
+    return best, used
+
+
+def fit(lengths: list[int], counts: list[int], budget: int, most_cells: int = MOST_CELLS) -> list[int]:
+    """How many documents of each length to take so that their words come as near below `budget` as any choice can.
+
+    The same share of every length first, rounded down, then the longest that still fit: what is left is less than one document. A
+    bounded knapsack then exchanges documents: a few of the shortest lengths, then, until the budget is met, more of more lengths. If
+    two choices differ in more than 2 W + 1 documents (W: the longest), some of these have words that cancel out, so the program
+    has seen all that matters once it exchanges so many of each length. Only if its table would outgrow most_cells, it ends before
+    that, with less than one document missing.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or total <= 0:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    take = [budget * c // total for c in counts]
-    for i in sorted(range(len(lengths)), key=lambda i: lengths[i])[:BACK_OFF]:
-        take[i] = max(0, take[i] - 2)
+    take = [budget * c // total if n > 0 else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget - sum(n * k for n, k in zip(lengths, take, strict=True))
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
-    for i in order:
-        if left <= dp_words:
-            break
-        k = min(counts[i] - take[i], (left - dp_words + lengths[i] - 1) // lengths[i], left // lengths[i])
+    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0), key=lambda i: lengths[i])
+    for i in reversed(order):
+        k = min(counts[i] - take[i], left // lengths[i])
         take[i] += k
         left -= k * lengths[i]
-    limit = (1 << (left + 1)) - 1 if left >= 0 else 0
-    reach, steps = 1, []
-    for i in order:
-        n, spare, k = lengths[i], min(counts[i] - take[i], left // lengths[i]), 1
-        while spare > 0 and not reach >> left & 1:
-            k = min(k, spare)
-            grown = reach | reach << (n * k) & limit
-            if grown != reach:
-                steps.append((i, k, reach))
-                reach = grown
-            spare -= k
-            k *= 2
-        if reach >> left & 1:
+    unit, most = math.gcd(*(lengths[i] for i in order)), 2 * lengths[order[-1]] + 1
+    n_lengths, n_docs = FIRST_LENGTHS, FIRST_DOCS
+    while left >= unit:
+        free = order[:n_lengths]
+        spare = [min(take[i], n_docs) for i in free]
+        room = [k + min(counts[i] - take[i], n_docs) for i, k in zip(free, spare, strict=True)]
+        sizes = [lengths[i] // unit for i in free]
+        cells = left // unit + sum(n * k for n, k in zip(sizes, spare, strict=True)) + 1
+        if cells > most_cells:
             break
-    at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            at -= lengths[i] * k
-            take[i] += k
+        best, used = _exchange(sizes, room, cells)
+        for i, k, u in zip(free, spare, used, strict=True):
+            take[i] += u - k
+        left -= unit * (best - sum(n * k for n, k in zip(sizes, spare, strict=True)))
+        if n_lengths >= len(order) and n_docs >= min(most, max(counts)):
+            break
+        n_lengths, n_docs = n_lengths * 4, n_docs * 2
     return take
 
 
@@ -85,18 +113,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return stopped.withColumn("common", F.min(free).over(every)["level"]).select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("common") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, size=None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, size=None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, key=None) -> DataFrame:
     """(doc_id, row_hash, source, size, source_size, target, copies) per row of docs (doc_id, source, text).
 
     Each source repeats whole as often as its target holds it; the words left are a subset-sum problem over the counts of documents by
     exact length (fit), solved per source over distinct lengths, never over documents. Which documents of a length are taken goes by a
     seeded hash; a length's group is dealt over parts whose quotas come from running counts, so a group of a third of all rows spreads.
     A null text has size 0 and is never needed: copies are its source's whole repeats. Null is a source of its own. Repeated rows
-    count each and may be taken differently; ties of the hash go by doc_id. Without words all targets are 0. Reruns give the same.
+    count each and may be taken differently; ties of the hash go by doc_id. row_hash is of source and text, or `key`. Without words all targets are 0. Reruns give the same.
     """
     text = F.col("text").cast("string")
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (n_words(text) if size is None else size).alias("size"), F.xxhash64("source", "text").alias("row_hash")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (n_words(text) if size is None else size).alias("size"), (F.xxhash64("source", "text") if key is None else key).alias("row_hash")
     )
     rows = written(rows.withColumn("pick", F.xxhash64("doc_id", "row_hash", F.lit(seed))).withColumn("part", F.pmod("pick", F.lit(PARTS)).cast("int")))
     parts = written(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
@@ -127,17 +155,20 @@ def mix(docs: DataFrame, size=None, weights: tuple[int, ...] = WEIGHTS, share: f
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with every row as often as the mix takes it; columns stay. Rows alike in doc_id, source and text share their copies."""
-    plan = mix(docs).where("copies > 0").groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("_tm_copies"))
-    plan = written(plan.select(F.col("doc_id").alias("_tm_id"), F.col("row_hash").alias("_tm_hash"), "_tm_copies"))
-    own = docs.withColumns({"_tm_doc": F.col("doc_id").cast("long"), "_tm_own": F.xxhash64("source", "text")})
-    own = own.withColumn("_tm_n", F.lit(1))
+    """docs with every row as often as the mix takes it; columns stay. Rows alike in all columns share their copies.
+
+    Only rows that have an equal are brought together, by an aggregation that combines before it shuffles; the rest stay where they are read.
+    """
+    key = F.xxhash64(*docs.columns)
+    plan = mix(docs, key=key).groupBy("doc_id", "row_hash").agg(F.sum("copies").cast("int").alias("_tm_copies"), F.count("*").alias("_tm_n"))
+    plan = written(plan.where("_tm_copies > 0").select(F.col("doc_id").alias("_tm_id"), F.col("row_hash").alias("_tm_hash"), "_tm_copies", "_tm_n"))
+    own = docs.withColumns({"_tm_doc": F.col("doc_id").cast("long"), "_tm_own": key})
     both = own.join(plan, F.col("_tm_doc").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_own") == F.col("_tm_hash")))
-    same = Window.partitionBy("_tm_doc", "_tm_own").orderBy("_tm_n")
-    many = both.withColumn("_tm_rank", F.row_number().over(same)).where("_tm_rank = 1")
-    return many.withColumn("_tm_k", F.explode(F.sequence(F.lit(1), F.col("_tm_copies").cast("int")))).select(*docs.columns)
+    each = both.where("_tm_n = 1").unionAll(both.where("_tm_n > 1").dropDuplicates(["_tm_doc", "_tm_own"]))
+    return each.withColumn("_tm_k", F.explode(F.sequence(F.lit(1), F.col("_tm_copies")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents by words; `taken` counts repeats."""
     plan = mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
