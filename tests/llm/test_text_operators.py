@@ -73,22 +73,56 @@ def test_packing_places_each_id_once(spark):
     assert packing.pack(documents(spark, docs).limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
-def test_packer_settles_and_follows_the_sum_of_squares():
+def plain_sum_of_squares(sizes, window):
+    """Levels of the open windows after each size, by trying every level."""
+    levels = Counter()
+    for size in sizes:
+        if size % window:
+            size %= window
+            choices = [h for h in {0, *levels} if h + size <= window and (h == 0 or levels[h])]
+
+            def after(h, size=size):
+                new = Counter(levels)
+                new[h] -= h > 0
+                new[h + size] += h + size < window
+                return sum(c * c for c in new.values())
+
+            h = min(choices, key=lambda h: (after(h), -h))
+            levels[h] -= h > 0
+            levels[h + size] += h + size < window
+        levels = +levels
+        yield dict(levels)
+
+
+@pytest.mark.parametrize("sizes", [[1100] * 5000, [40] * 50, None])
+def test_packer_follows_the_sum_of_squares_to_the_end(sizes, tmp_path):
+    window = 2048 if sizes and sizes[0] == 1100 else 64
     r = np.random.default_rng(3)
-    packer = packing.Packer(64, max_open=10)
-    done, total = [], 0
-    for k, n in enumerate([40] * 50 + r.integers(1, 200, 400).tolist()):
-        done += packer.add(k, np.full(n, k, "<u4").tobytes())
-        total += n
-        assert packer.n_open <= 10
-    assert all(sum(len(p[3]) for p in w) == 256 for w in done)
-    rest = packer.finish()
-    sizes = [sum(len(p[3]) for p in w) // 4 for w in rest]
-    assert all(s == 64 or s & (s - 1) == 0 for s in sizes) and sum(sizes) + 64 * len(done) == total
+    sizes = sizes or r.integers(1, 200, 1500).tolist()
+    held = packing.Held(f"file://{tmp_path}", 50_000)
+    packer, done = packing.Packer(window, held), []
+    for k, (n, levels) in enumerate(zip(sizes, plain_sum_of_squares(sizes, window), strict=True)):
+        done += packer.add(k, np.arange(n, dtype="<u4").tobytes())
+        if len(set(sizes)) > 1 or k % 100 == 99:
+            assert {int(h): int(packer.levels[h]) for h in np.flatnonzero(packer.levels)} == levels
+    assert window != 2048 or not done and packer.levels[1100] == 5000 and held.n_files > 100
+    rest = list(packer.finish())
+    held.close()
+    assert not list(tmp_path.iterdir()) and all(sum(len(p[3]) for p in w) == 4 * window for w in done)
+    lengths = [sum(len(p[3]) for p in w) // 4 for w in rest]
+    assert all(s == window or s & (s - 1) == 0 for s in lengths)
+    cover = defaultdict(list)
+    for k, n, start, ids in (p for w in done + rest for p in w):
+        assert n == sizes[k] and np.frombuffer(ids, "<u4").tolist() == list(range(start, start + len(ids) // 4))
+        cover[k] += range(start, start + len(ids) // 4)
+    assert all(sorted(cover[k]) == list(range(n)) for k, n in enumerate(sizes))
+
+
+def test_packer_prefers_what_keeps_levels_even():
     packer = packing.Packer(10)
     for size in (4, 4, 3):  # the second 4 costs 2 * (0 - 1 + 1) on the first, 2 * 1 + 1 alone; 3 fits on no window
         packer.add(size, bytes(4 * size))
-    assert packer.levels[8] == 1 and packer.levels[3] == 1 and packer.n_open == 2
+    assert packer.levels[8] == 1 and packer.levels[3] == 1 and packer.levels.sum() == 2
     assert len(packer.add(9, bytes(8))) == 1  # a window that gets full leaves the sum
 
 

@@ -30,8 +30,12 @@ def own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or, only where that is unset (local runs), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{own_dir()}"
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or, only in local runs where that is unset, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{own_dir()}"
     return f"{root.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
 
 

@@ -2,58 +2,115 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, tokenizer_path
+from tidemark.llm.common import shared_dir, table, tokenizer_path
 from tidemark.llm.encode import chunks, encoder
 from tidemark.llm.encode import rows as texts
 
 WINDOW = 2048
-#: Above so many open windows a packer settles them, so its memory is bounded whatever the lengths are.
-MAX_OPEN = 1024
+#: Ids of open windows that a task holds in memory, in bytes; what is above that lies in files of the shared folder until its window is done.
+HELD_BYTES = 64 << 20
 #: Texts encoded together, in characters: fewer than elsewhere, as a chunk's pieces are held beside them.
 CHUNK_CHARS = 6_000_000
+#: Windows made into rows together.
+ROWS_TOGETHER = 1024
 END_ID = 1
 
 SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
-#: A piece: (doc_id, doc_tokens, start, ids).
+#: A piece in an open window: (doc_id, doc_tokens, start, length, number under which its ids are held); in a done one: (doc_id, doc_tokens, start, ids).
+Open = tuple[int | None, int, int, int, int]
 Piece = tuple[int | None, int, int, bytes]
 
 
+class Held:
+    """Ids by number, given once and taken once. Above `most` bytes all that is in memory is written to one file more of `folder`."""
+
+    def __init__(self, folder: str | None = None, most: int = HELD_BYTES) -> None:
+        self.folder, self.most, self.size, self.count, self.n_files = folder, most, 0, 0, 0
+        self.memory: dict[int, bytes] = {}
+        self.disk: dict[int, tuple[int, int, int]] = {}
+        self.store = self.root = None
+        self.reading: tuple[int, object] | None = None
+
+    def put(self, ids: bytes) -> int:
+        self.count += 1
+        self.memory[self.count] = ids
+        self.size += len(ids)
+        if self.size > self.most and self.folder:
+            self._write()
+        return self.count
+
+    def take(self, number: int) -> bytes:
+        if number in self.memory:
+            ids = self.memory.pop(number)
+            self.size -= len(ids)
+            return ids
+        file, at, size = self.disk.pop(number)
+        if self.reading is None or self.reading[0] != file:
+            self.reading = (file, self.store.open_input_file(f"{self.root}/{file}"))
+        self.reading[1].seek(at)
+        return self.reading[1].read(size)
+
+    def _write(self) -> None:
+        if self.store is None:
+            self.store, path = pafs.FileSystem.from_uri(self.folder)
+            self.root = f"{path}/held-{uuid.uuid4().hex}"
+            self.store.create_dir(self.root)
+        with self.store.open_output_stream(f"{self.root}/{self.n_files}") as out:
+            at = 0
+            for number, ids in self.memory.items():
+                out.write(ids)
+                self.disk[number] = (self.n_files, at, len(ids))
+                at += len(ids)
+        self.n_files += 1
+        self.memory, self.size = {}, 0
+
+    def close(self) -> None:
+        if self.store is not None:
+            self.reading = None
+            self.store.delete_dir(self.root)
+            self.store = None
+
+
 class Packer:
-    """Places pieces into windows by sum of squares; add() and finish() return the windows that are done.
+    """Places pieces into windows by sum of squares; add() and finish() give the windows that are done.
 
     levels[h] counts the open windows filled to h. A piece of size s goes where the sum of squares of levels becomes
     smallest: a new window, or an open one at level h with h + s <= window; a full window leaves the counts. Ties go to the
-    fullest. Documents longer than a window fill whole windows first, so each is cut at multiples of it at most, plus the cuts of settle().
+    fullest. Documents longer than a window fill whole windows first, so until finish() each is cut at multiples of it only.
     """
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN) -> None:
-        self.window, self.max_open = window, max_open
+    def __init__(self, window: int = WINDOW, held: Held | None = None) -> None:
+        self.window, self.held = window, held or Held()
         self.levels = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list[list[Piece]]] = {}
-        self.n_open = 0
+        self.open: dict[int, list[list[Open]]] = {}
 
     def add(self, doc_id: int | None, ids: bytes) -> list[list[Piece]]:
-        n, w, done = len(ids) // 4, self.window, []
+        n, w = len(ids) // 4, self.window
         whole = n // w * w
-        for at in range(0, whole, w):
-            done.append([(doc_id, n, at, ids[4 * at : 4 * (at + w)])])
+        done: list[list[Piece]] = [[(doc_id, n, at, ids[4 * at : 4 * (at + w)])] for at in range(0, whole, w)]
         if whole < n:
-            done += self._place((doc_id, n, whole, ids[4 * whole :]))
+            done += self._place(doc_id, n, whole, ids[4 * whole :])
         return done
 
-    def _place(self, piece: Piece) -> list[list[Piece]]:
-        size, w, levels = len(piece[3]) // 4, self.window, self.levels
+    def _done(self, pieces: list[Open]) -> list[Piece]:
+        return [(doc_id, n, start, self.held.take(number)) for doc_id, n, start, _, number in pieces]
+
+    def _place(self, doc_id: int | None, n: int, start: int, ids: bytes) -> list[list[Piece]]:
+        size, w, levels = len(ids) // 4, self.window, self.levels
         at, best = 0, 2 * levels[size] + 1
         filled = np.flatnonzero(levels[: w - size + 1])
         if len(filled):
@@ -64,77 +121,69 @@ class Packer:
             k = len(cost) - 1 - int(np.argmin(cost[::-1]))
             if cost[k] <= best:
                 at = int(filled[k])
+        pieces: list[Open] = []
         if at:
             pieces = self.open[at].pop()
             levels[at] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
         if at + size == w:
-            return [pieces]
+            return [[*self._done(pieces), (doc_id, n, start, ids)]]
+        pieces.append((doc_id, n, start, size, self.held.put(ids)))
         self.open.setdefault(at + size, []).append(pieces)
         levels[at + size] += 1
-        self.n_open += 1
-        return self.settle() if self.n_open > self.max_open else []
+        return []
 
-    def settle(self) -> list[list[Piece]]:
-        """Fills the fullest open windows with the contents of the emptiest, cutting a piece where it overlaps; one window stays open at most."""
+    def _cut(self, piece: Open, size: int) -> tuple[Piece, Open]:
+        doc_id, n, start, length, number = piece
+        ids = self.held.take(number)
+        return (doc_id, n, start, ids[: 4 * size]), (doc_id, n, start + size, length - size, self.held.put(ids[4 * size :]))
+
+    def finish(self) -> Iterator[list[Piece]]:
+        """The windows still open: the fullest are filled with the contents of the emptiest, a piece that overlaps is cut, and the
+        last one is cut into sequences of a power of two, so nothing is padded."""
         rows = [(h, pieces) for h in sorted(self.open) for pieces in self.open[h]]
-        done: list[list[Piece]] = []
-        low = 0
-        while len(rows) - low > 1:
-            filled, target = rows.pop()
+        self.open = {}
+        self.levels[:] = 0
+        low, last = 0, []
+        while len(rows) > low:
+            filled, pieces = rows.pop()
+            target = self._done(pieces)
             while filled < self.window and low < len(rows):
                 donor = rows[low][1]
-                doc_id, n, start, ids = donor.pop()
-                gap = 4 * (self.window - filled)
-                target.append((doc_id, n, start, ids[:gap]))
-                filled += min(gap, len(ids)) // 4
-                if len(ids) > gap:
-                    donor.append((doc_id, n, start + gap // 4, ids[gap:]))
-                elif not donor:
-                    low += 1
-            if filled < self.window:
-                rows.append((filled, target))
-                break
-            done.append(target)
-        self.open, self.n_open = {}, 0
-        self.levels[:] = 0
-        for _, pieces in rows[low:]:
-            filled = sum(len(p[3]) for p in pieces) // 4
-            self.open.setdefault(filled, []).append(pieces)
-            self.levels[filled] += 1
-            self.n_open += 1
-        return done
-
-    def finish(self) -> list[list[Piece]]:
-        """The rest: what settle() leaves is cut into sequences of a power of two, which need no padding."""
-        done = self.settle()
-        for left in [pieces for same in self.open.values() for pieces in same]:
-            left = left[::-1]
-            total = sum(len(p[3]) for p in left) // 4
-            for power in reversed(range(total.bit_length())):
-                if not total >> power & 1:
-                    continue
-                room, row = 4 << power, []
-                while room:
-                    doc_id, n, start, ids = left.pop()
-                    row.append((doc_id, n, start, ids[:room]))
-                    if len(ids) > room:
-                        left.append((doc_id, n, start + room // 4, ids[room:]))
-                    room -= min(room, len(ids))
-                done.append(row)
-        self.open, self.n_open = {}, 0
-        self.levels[:] = 0
-        return done
-
-
-def _pack(path: str, cut: str, end_id: int, window: int, with_ids: bool):
+                piece = donor.pop()
+                gap = self.window - filled
+                if piece[3] > gap:
+                    part, rest = self._cut(piece, gap)
+                    donor.append(rest)
+                    target.append(part)
+                    filled = self.window
+                else:
+                    target += self._done([piece])
+                    filled += piece[3]
+                    low += not donor
+            if filled == self.window:
+                yield target
+            else:
+                last = target[::-1]
+        total = sum(len(p[3]) for p in last) // 4
+        for power in reversed(range(total.bit_length())):
+            if not total >> power & 1:
+                continue
+            room, row = 4 << power, []
+            while room:
+                doc_id, n, start, ids = last.pop()
+                row.append((doc_id, n, start, ids[:room]))
+                if len(ids) > room:
+                    last.append((doc_id, n, start + room // 4, ids[room:]))
+                room -= min(room, len(ids))
+            yield row
+
+
+def _pack(path: str, cut: str, end_id: int, window: int, with_ids: bool, folder: str, held_bytes: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer = encoder(path, cut), Packer(window)
+        code, held = encoder(path, cut), Held(folder, held_bytes)
+        packer = Packer(window, held)
         sequence = TaskContext.get().partitionId() << 40
         names = [*SCHEMA.fieldNames(), *["ids"] * with_ids]
 
@@ -152,28 +201,34 @@ def _pack(path: str, cut: str, end_id: int, window: int, with_ids: bool):
                 kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
 
-        for some in chunks(texts(batches), CHUNK_CHARS):
-            done: list[list[Piece]] = []
-            for (doc_id, _), ids in zip(some, code.encode([t for _, t in some]), strict=True):
-                done += packer.add(doc_id, ids + end)
-            yield from rows(done)
-        yield from rows(packer.finish())
+        try:
+            for some in chunks(texts(batches), CHUNK_CHARS):
+                done: list[list[Piece]] = []
+                for (doc_id, _), ids in zip(some, code.encode([t for _, t in some]), strict=True):
+                    done += packer.add(doc_id, ids + end)
+                yield from rows(done)
+            rest = packer.finish()
+            while done := list(islice(rest, ROWS_TOGETHER)):
+                yield from rows(done)
+        finally:
+            held.close()
 
     return run
 
 
-def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = END_ID, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, cut: str = "words", end_id: int = END_ID, window: int = WINDOW, with_ids: bool = False, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per piece of docs (doc_id, text; other columns are not read) packed into sequences of at most `window` ids.
 
-    Each input partition packs itself while it is tokenized: no shuffle, memory bounded by the open windows, and a task
-    that runs again gives the same rows. A sequence is full or its length is a power of two, so nothing is padded.
+    Each input partition packs itself while it is tokenized: no shuffle, and a task that runs again gives the same rows. Ids of open
+    windows are in memory up to held_bytes, then in files of the shared folder that go with the task. A sequence is full or its length is a power of two, so nothing is padded.
     A null or empty text is the end id alone; repeated rows are packed each; a null doc_id stays null; no rows give no rows.
     with_ids adds the pieces' ids (binary, little-endian unsigned 32-bit integers).
     """
     schema = T.StructType([*SCHEMA.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pack(path, cut, end_id, window, with_ids), schema)
+    return rows.mapInArrow(_pack(path, cut, end_id, window, with_ids, shared_dir(docs.sparkSession), held_bytes), schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents with the lower-casing vocabulary."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
