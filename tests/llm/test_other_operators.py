@@ -87,11 +87,24 @@ def test_digest_array_survives_collisions(tmp_path, monkeypatch):
     urls.build(str(tmp_path / "i"), [(f"h{k}.example/", "block", "") for k in range(1000)])
     index = urls.Index(str(tmp_path / "i"))
     assert index.probe(["h5.example/", "h5000.example/", "h999.example/"]) == [("block", ""), None, ("block", "")]
-    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: len(s))
+    monkeypatch.setattr(urls, "digest", len)
     urls.build(str(tmp_path / "j"), [("ab/", "block", "x"), ("cd/", "allow", "y")])
     assert urls.Index(str(tmp_path / "j")).probe(["ab/", "cd/", "ef/", "q/"]) == [("block", "x"), ("allow", "y"), None, None]
 
 
+def test_a_listed_table_and_very_long_hosts(spark):
+    hosts = [f"h{k}.{'a.' * (k % 4)}example" for k in range(20_000)] + [None, "", "H5.A.EXAMPLE", "a/b"]
+    table = spark.createDataFrame([(h, 1) for h in hosts], "host string, verdict int").repartition(5)
+    own = {h.lower() for h in hosts if h and "/" not in h}
+    tried = [f"http://{'x.' * (k % 3)}h{k}.{'a.' * (k % 5)}example/{k}" for k in range(0, 30_000, 7)] + ["http://" + "l." * 20_000 + "h8.example/x", "http://" + "l." * 20_000 + "com/en/"]
+    pages = spark.createDataFrame(list(enumerate(tried)), "page_id int, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, listed=table).collect()}
+    for k, url in enumerate(tried[:-2]):
+        labels = urls.split(url)[0].split(".")
+        assert found[k] == (None, "block" if any(".".join(labels[i:]) in own for i in range(len(labels))) else "allow"), url
+    assert found[len(tried) - 2] == (None, "block") and found[len(tried) - 1] == ("com/en/", "block")
+
+
 def page(body, extra=""):
     return (
         f'<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head><body><header><h1>Site</h1></header>'

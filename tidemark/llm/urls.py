@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import os
+import shutil
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -16,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import own_dir, table
 
-MAGIC = b"TMURL001"
-_HEAD = struct.Struct("<8sQQQ")
+MAGIC = b"TMURL002"
+_HEAD = struct.Struct("<8sQQQQ")
+#: Of the digests, as in Spark's xxhash64.
+SEED = 42
 #: Production rules: (rule, verdict); a rule is host/path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Listed hosts, whole, subdomains too, that no rule speaks of.
@@ -26,26 +32,53 @@ LISTED = ("spam-farm.example.org", "cheap-pills.example.com", "casino.example.ne
 MAX_BYTES = 4 << 30
 
 
-def build(path: str, entries: Iterable[tuple[str, str, str]]) -> None:
-    """Writes an index of (entry, verdict, shown) to path: entry is host/path-prefix, shown the rule's name or empty.
+def digest(entry: str) -> int:
+    return xxhash.xxh64_intdigest(entry, SEED)
 
-    File: magic, entries, path lengths in use, blob size; keys (ascending 64-bit xxhash of the entry), 64-bit offsets into the blob
-    (one more than keys), path lengths (64-bit), blob of entry, tab, verdict, tab, shown. Of an entry given twice the first counts.
+
+def build(path: str, entries: Iterable[tuple[str, str, str]], listed: Iterable[tuple[int, str]] = ()) -> None:
+    """Writes an index to path from entries (entry, verdict, shown), few, and listed (digest, entry), any number, ascending, blocked and without a name.
+
+    An entry is host/path-prefix. File: magic, entries, path lengths in use, numbers of host labels in use, blob size; keys (ascending 64-bit
+    xxhash of the entry), 64-bit offsets into the blob (one more than keys), path lengths, label numbers (64-bit), blob of entry, tab,
+    verdict, tab, shown. Of an entry given twice the first counts, a named one before a listed one.
     """
     unique = {}
     for entry, verdict, shown in entries:
         unique.setdefault(entry, (verdict, shown))
-    rows = sorted((xxhash.xxh64_intdigest(e), "\t".join((e, *v)).encode()) for e, v in unique.items())
-    lengths = sorted({len(e) - e.index("/") for e in unique})
-    blob = b"".join(r for _, r in rows)
-    if 16 * len(rows) + len(blob) > MAX_BYTES:
-        raise ValueError(f"the index is over {MAX_BYTES} bytes; split the list by digest range and filter once per part")
-    with open(path, "wb") as out:
-        out.write(_HEAD.pack(MAGIC, len(rows), len(lengths), len(blob)))
-        out.write(np.array([k for k, _ in rows], "<u8").tobytes())
-        out.write(np.cumsum([0, *(len(r) for _, r in rows)]).astype("<u8").tobytes())
-        out.write(np.array(lengths, "<u8").tobytes())
-        out.write(blob)
+    named = sorted((digest(e), not v[1], "\t".join((e, *v)).encode()) for e, v in unique.items())
+    more = ((k, True, f"{e}\tblock\t".encode()) for k, e in listed)
+    lengths, labels, n, at = set(), set(), 0, 0
+    with tempfile.TemporaryFile(dir=os.path.dirname(path)) as keys, tempfile.TemporaryFile(dir=os.path.dirname(path)) as offsets, tempfile.TemporaryFile(dir=os.path.dirname(path)) as blob:
+        for key, _, row in heapq.merge(named, more):
+            entry = row.split(b"\t", 1)[0].decode()
+            host = entry[: entry.index("/")]
+            lengths.add(len(entry) - len(host))
+            labels.add(host.count(".") + 1)
+            keys.write(struct.pack("<Q", key))
+            offsets.write(struct.pack("<Q", at))
+            blob.write(row)
+            n, at = n + 1, at + len(row)
+            if 16 * n + at > MAX_BYTES:
+                raise ValueError(f"the index is over {MAX_BYTES} bytes; split the list by digest range and filter once per part")
+        offsets.write(struct.pack("<Q", at))
+        with open(path, "wb") as out:
+            out.write(_HEAD.pack(MAGIC, n, len(lengths), len(labels), at))
+            for part in (keys, offsets):
+                part.seek(0)
+                shutil.copyfileobj(part, out)
+            out.write(np.array(sorted(lengths), "<u8").tobytes())
+            out.write(np.array(sorted(labels), "<u8").tobytes())
+            blob.seek(0)
+            shutil.copyfileobj(blob, out)
+
+
+def ascending(hosts: DataFrame) -> Iterator[tuple[int, str]]:
+    """(digest, entry) of the distinct non-empty hosts in the first column, in order of the unsigned digest: Spark sorts, the driver holds one partition at a time."""
+    host = F.translate(hosts[hosts.columns[0]].cast("string"), _UPPER, _UPPER.lower())
+    rows = hosts.select(F.concat(host, F.lit("/")).alias("entry")).where((F.length("entry") > 1) & ~F.col("entry").rlike(r"[\t\n]|/.*/")).distinct()
+    rows = rows.withColumn("digest", F.xxhash64("entry")).orderBy(F.col("digest").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), "entry")
+    return ((r.digest & (1 << 64) - 1, r.entry) for r in rows.toLocalIterator())
 
 
 class Index:
@@ -53,28 +86,30 @@ class Index:
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
-            magic, n, k, size = _HEAD.unpack(file.read(_HEAD.size))
+            magic, n, k, m, size = _HEAD.unpack(file.read(_HEAD.size))
         if magic != MAGIC:
             raise ValueError("not an index of this format")
         at = _HEAD.size
         mapped = np.memmap(path, np.uint8, "r")
         self.keys = mapped[at : at + 8 * n].view("<u8")
         self.offsets = mapped[at + 8 * n : at + 16 * n + 8].view("<u8")
-        self.lengths = mapped[at + 16 * n + 8 : at + 16 * n + 8 + 8 * k].view("<u8").tolist()
+        at += 16 * n + 8
+        self.lengths = mapped[at : at + 8 * k].view("<u8").tolist()
+        self.labels = mapped[at + 8 * k : at + 8 * (k + m)].view("<u8").tolist()
         self.blob = mapped[len(mapped) - size :] if size else np.zeros(0, np.uint8)
 
     def probe(self, entries: list[str]) -> list[tuple[str, str] | None]:
         """(verdict, shown) of each entry that is stored, by vectorised binary search over the digests; the stored string decides, so colliding digests do no harm."""
         if not entries or not len(self.keys):
             return [None] * len(entries)
-        digests = np.fromiter((xxhash.xxh64_intdigest(e) for e in entries), "<u8", len(entries))
+        digests = np.fromiter((digest(e) for e in entries), "<u8", len(entries))
         out: list[tuple[str, str] | None] = [None] * len(entries)
         first = np.searchsorted(self.keys, digests, "left")
         last = np.searchsorted(self.keys, digests, "right")
         for i in np.flatnonzero(last > first):
             for k in range(first[i], last[i]):
                 entry, verdict, shown = bytes(self.blob[int(self.offsets[k]) : int(self.offsets[k + 1])]).decode().split("\t")
-                if entry == entries[i]:
+                if entry == entries[i] and out[i] is None:
                     out[i] = (verdict, shown)
         return out
 
@@ -84,7 +119,8 @@ def _index(name: str) -> Index:
     return Index(SparkFiles.get(name))
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 
 
 def split(url: str | None) -> tuple[str, str]:
@@ -108,9 +144,10 @@ def _judge(name: str):
             for i, (host, path) in enumerate(parts):
                 if not host:
                     continue
-                labels = host.split(".")
-                for k in range(len(labels)):
-                    base = ".".join(labels[k:])
+                for k in index.labels:  # suffixes of so many labels as an entry has, so a host of any length costs what the list asks
+                    if k > host.count(".") + 1:
+                        break
+                    base = ".".join(host.rsplit(".", k)[-k:])
                     for n in index.lengths:
                         if n <= len(path):
                             probes.append(base + path[:n])
@@ -133,27 +170,33 @@ def _judge(name: str):
     return run
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, listed: Iterable[str] = LISTED) -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, listed: Iterable[str] | DataFrame = LISTED) -> DataFrame:
     """(page_id, host, path, rule, verdict) per row of pages (page_id, url; other columns are not read).
 
     rules: (host/path, verdict); a rule fits its host and all subdomains if the path starts with its path, the longest fitting
     one wins. Else a listed host, or a subdomain of one, is blocked; the rest is allowed. A null url, or one without ://, has an empty host
-    and path and is allowed. Repeated rows are judged each; no rows give no rows.
-    The index is built on the driver, shipped as a file and memory-mapped by the workers; a row probes one entry for each
-    suffix of its host and path length in use. Only the two columns are read and nothing is shuffled.
+    and path and is allowed. Repeated rows are judged each; no rows give no rows. listed: hosts, or a table whose first column has them
+    (null, empty and malformed ones are ignored).
+    The index is written by the driver, from a table in order of digests without holding it, served as a file and memory-mapped by the
+    workers; a row probes one entry for each number of labels and path length in use. Only the two columns are read and nothing is shuffled.
     """
     spark = pages.sparkSession
-    entries = [*((r, v, r) for r, v in rules), *((f"{h}/", "block", "") for h in listed)]
-    name = f"tidemark-urls-{xxhash.xxh64_hexdigest(repr(entries))}.idx"
-    path = os.path.join(own_dir(), name)  # the driver serves it from there to the executors
-    if not os.path.exists(path):
-        build(path, entries)
-    spark.sparkContext.addFile(path)
+    entries = [(r, v, r) for r, v in rules]
+    if isinstance(listed, DataFrame):
+        name = f"tidemark-urls-{uuid.uuid4().hex}.idx"
+        build(os.path.join(own_dir(), name), entries, ascending(listed))
+    else:
+        entries += [(f"{h}/", "block", "") for h in listed]
+        name = f"tidemark-urls-{xxhash.xxh64_hexdigest(repr(entries))}.idx"
+        if not os.path.exists(os.path.join(own_dir(), name)):
+            build(os.path.join(own_dir(), name), entries)
+    spark.sparkContext.addFile(os.path.join(own_dir(), name))  # the driver serves its own file to the executors
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     return rows.mapInArrow(_judge(name), "page_id long, host string, path string, rule string, verdict string")
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all pages under RULES and LISTED."""
     return judge(table(spark, sf_dir, "pages"))
 
 
