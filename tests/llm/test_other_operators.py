@@ -3,9 +3,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 from helpers import awkward, documents, prose
-from test_text_operators import boilerplate, brute_simhash, check_packing, near_copies
+from test_text_operators import boilerplate, check_packing, near_copies, similar_docs, united
 
-from tidemark.llm import embeddings, html, urls
+from tidemark.llm import embeddings, html, simhash, urls
 
 
 def test_embedding_links_against_brute_force(spark):
@@ -170,7 +170,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline as pipe
 
     key = 'password = "hunter2hunter2"'
-    rows = [d for d in awkward() if d[0] != 7] + near_copies() + boilerplate() + [(8000, prose(77, 90) + " " + key, "b")]
+    rows = awkward() + near_copies() + similar_docs() + boilerplate() + [(8000, prose(77, 90) + " " + key, "b")]
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     kinds = {n: f for n, f in pipe.STAGES}
@@ -179,7 +179,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     kept = [(r.doc_id, r.text, r.source) for r in good.collect()]
     unique = kinds["near_duplicates"](spark, good, "")
     got = sorted((r.doc_id for r in unique.collect() if r.doc_id is not None))
-    assert got == sorted({c for _, _, c in brute_simhash(kept) if c is not None})
+    assert got == sorted({c for c in united(kept, simhash.brute_near([t for _, t, _ in kept])) if c is not None})
     clean = kinds["secrets"](spark, unique, "")
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert "hunter2" not in texts[8000] and len(texts) == unique.count()

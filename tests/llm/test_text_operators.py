@@ -167,17 +167,10 @@ def test_shard_blocks_are_prefix_compressed_and_found(tmp_path):
         sstable.Writer(open(path, "wb")).add(b"b", b"") or w.add(b"", b"")
 
 
-def brute_simhash(docs):
-    import xxhash
-
-    prints = []
-    for _, t, _ in docs:
-        w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+def united(docs, pairs):
+    """Per document the smallest doc_id of those that pairs of indexes reach."""
     links = defaultdict(set)
-    for i, j in simhash.brute_links(prints):
+    for i, j in pairs:
         links[i].add(j)
         links[j].add(i)
     out = []
@@ -187,10 +180,23 @@ def brute_simhash(docs):
             for j in links[todo.pop()] - seen:
                 seen.add(j)
                 todo.append(j)
-        out.append((docs[i][0], f"{prints[i]:016x}", min((docs[j][0] for j in seen if docs[j][0] is not None), default=None)))
+        out.append(min((docs[j][0] for j in seen if docs[j][0] is not None), default=None))
     return out
 
 
+def brute_simhash(docs):
+    import xxhash
+
+    prints = []
+    for _, t, _ in docs:
+        w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    found = united(docs, simhash.brute_links(prints))
+    return [(docs[i][0], f"{prints[i]:016x}", found[i]) for i in range(len(docs))]
+
+
 def near_copies():
     base = prose(9, 400).split()
     out = [(1000 + k, " ".join(base[:k] + ["zz"] + base[k:]), "a") for k in range(0, 40)]
@@ -198,14 +204,58 @@ def near_copies():
 
 
 def test_simhash_groups(spark):
-    docs = [d for d in awkward() if d[0] != 7] + near_copies()
+    docs = awkward() + near_copies()
     found = simhash.groups(documents(spark, docs)).select("doc_id", simhash.hex_digits(F.col("fp")), "component_id")
     assert Counter(map(tuple, found.collect())) == Counter(brute_simhash(docs))
+    assert simhash.groups(documents(spark, [])).count() == 0
+
+
+def edited(seed, words, share):
+    """words with a share of them replaced, dropped or doubled."""
+    import random
+
+    r = random.Random(seed)
+    out = list(words)
+    for k in sorted(r.sample(range(len(words)), round(share * len(words))), reverse=True):
+        out[k : k + 1] = r.choice([["qq"], [], [out[k], out[k]]])
+    return " ".join(out)
+
+
+def similar_docs():
+    out, i = [], 6000
+    for g, (n, copies) in enumerate([(60, 3), (120, 8), (300, 60), (1000, 5), (5000, 3)] * 2):
+        base = prose(60 + g, n).split()
+        out.append((i, " ".join(base), "s"))
+        out += [(i + 1 + k, edited(100 * g + k, base, 0.005 * (1 + k % 6)), "s") for k in range(copies)]
+        i += copies + 1
+    passage = prose(777, 90)  # many unrelated documents share it
+    return out + [(8000 + k, f"{prose(8000 + k, 70)} {passage} {prose(9000 + k, 70)}", "s") for k in range(40)]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    docs = awkward() + near_copies() + similar_docs()
+    found = simhash.near_groups(documents(spark, docs)).select("doc_id", "component_id").collect()
+    want = united(docs, simhash.brute_near([t for _, t, _ in docs]))
+    assert len(found) == len(docs)
+    by_id = {i: c for (i, _, _), c in zip(docs, want, strict=True)}
+    missed = [r for r in found if r.doc_id is not None and r.component_id != by_id[r.doc_id]]
+    assert not missed, (len(missed), missed[:9])
+    assert len({r.component_id for r in found if r.doc_id and 8000 <= r.doc_id < 8040}) == 40
     kept = simhash.deduplicate(documents(spark, docs))
     assert kept.columns == documents(spark, []).columns
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(ids) == sorted({c for _, _, c in brute_simhash(docs) if c is not None})
-    assert simhash.groups(documents(spark, [])).count() == 0
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for c in want if c is not None})
+    assert simhash.near_groups(documents(spark, [])).count() == 0 and simhash.deduplicate(documents(spark, [])).count() == 0
+
+
+def test_parts_end_where_the_text_says():
+    base = prose(5, 3000).split()
+    words = [w.encode() for w in base]
+    whole, prints = simhash.parted(simhash.shingles(words, 5))
+    assert whole == simhash.fingerprint(" ".join(base), 5)
+    moved = simhash.parted(simhash.shingles([b"new", b"words", *words[:1500], b"x", *words[1500:]], 5))[1]
+    assert len(prints) > 80 and len(set(prints) & set(moved)) >= len(set(prints)) - 6
+    alike = np.full(200_000, 7, "<u8")
+    assert simhash.parted(alike) == (7, [7])
 
 
 def test_covering_masks_meet_every_pair():

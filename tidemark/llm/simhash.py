@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, written
@@ -17,6 +17,14 @@ BITS = 64
 RADIUS = 2
 WIDTH = 3
 SEED = 42
+#: Near-duplicate texts of deduplicate(): words of a shingle, and the least Jaccard coefficient of their distinct shingles.
+NEAR_WIDTH, SIMILARITY = 5, 0.8
+#: A part ends before a shingle whose hash is a multiple of PART, but has LEAST_PART shingles (the last of a text: one) at least.
+PART, LEAST_PART = 16, 8
+#: Pairs whose whole texts' fingerprints differ in more bits aren't compared: at a Jaccard coefficient of 0.8 a bit differs with probability 0.152, so more than these of 64 do with one of 2 in a million.
+FAR_BITS = 24
+#: A bucket's texts are compared with so many of them, those that meet most others: with the first, then, where no link has joined them yet, with the rest.
+LEADS = 24
 
 
 def _signed(x: int) -> int:
@@ -35,23 +43,57 @@ def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The 64-bit SimHash of a text's word shingles, unsigned; 0 without words."""
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of a text's word shingles, in order. words as bytes, lower-cased: only A-Z change, only the six ASCII spaces part words."""
     import xxhash
 
-    parts = (text or "").encode().lower().split()  # bytes: only A-Z change, only the six ASCII spaces part words
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(parts) < width:
-        hashes = [digest(b" ".join(parts), SEED)]
-    else:
-        hashes = [digest(b" ".join(s), SEED) for s in zip(*(parts[i:] for i in range(width)), strict=False)]
+    if len(words) < width:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], "<u8")
+    return np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)), strict=False)), "<u8", len(words) - width + 1)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """Per bit, how many of the hashes have it."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        some = np.array(hashes[i : i + (1 << 16)], "<u8")
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _vote(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def parted(hashes: np.ndarray) -> tuple[int, list[int]]:
+    """The fingerprints of a text with shingles and of its parts. Where parts end depends on the shingles alone, so a change in a text changes the parts around it only."""
+    starts = [0]
+    for k in np.flatnonzero(hashes % PART == 0).tolist():
+        if k - starts[-1] >= LEAST_PART:
+            starts.append(k)
+    starts.append(len(hashes))
+    ones, prints, at = np.zeros(BITS, np.int64), [], 0
+    while at < len(starts) - 1:
+        to = at + 1
+        while to < len(starts) - 1 and starts[to + 1] - starts[at] <= 1 << 16:
+            to += 1
+        block = hashes[starts[at] : starts[to]]
+        if to == at + 1:
+            sums = _ones(block)[None]
+        else:
+            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, np.array(starts[at:to]) - starts[at], axis=0, dtype=np.int64)
+        sizes = np.diff(starts[at : to + 1])
+        prints += np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel().tolist()
+        ones += sums.sum(axis=0)
+        at = to
+    return _vote(ones, len(hashes)), prints
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The 64-bit SimHash of a text's word shingles, unsigned; 0 without words."""
+    hashes = shingles((text or "").encode().lower().split(), width)
+    return _vote(_ones(hashes), len(hashes)) if len(hashes) else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +153,95 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each SimHash group: the one whose doc_id names it.
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        names = ["doc_id", "text_hash", "node", "fp", "n", "shingles", "prints"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                rows: list[list] = [[] for _ in names[2:]]
+                for text in some.column("text"):
+                    own = (text.as_py() or "").encode().lower().split()
+                    hashes = shingles(own, width)
+                    fp, prints = parted(hashes) if len(hashes) else (0, [])
+                    distinct = np.unique((hashes >> np.uint64(32)).astype("<u4")).view("<i4")
+                    both = {_signed(p) for p in (fp, *prints)}
+                    for to, x in zip(rows, (_signed(xxhash.xxh64_intdigest(b" ".join(own), fp)), _signed(fp), len(distinct), distinct, sorted(both)), strict=True):
+                        to.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=names)
+
+    return run
+
+
+def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, leads: int = LEADS) -> DataFrame:
+    """(doc_id, text_hash, component_id) per row of docs (doc_id, text; other columns are not read): groups by links of texts whose distinct
+    shingles have a Jaccard coefficient of `similarity` or more.
+
+    Whole texts of that similarity differ in too many bits for covering masks (about 10 of 64 at 0.8), but then most of their parts don't
+    differ at all. So a text is filed under the fingerprints of the whole and of its parts, covering tables join the fingerprints within the
+    radius, and texts that meet are compared by their shingles, exactly. In a bucket of up to `leads` + 1 texts these are all pairs; in
+    a larger one, all with those that meet most others (the original of many copies is one), so comparisons grow with members. A pair is
+    missed only if no link joins it, and every bucket that it shares is larger and led by others.
+    Alike texts are one from the start, so copies cost nothing. Nulls, texts without words and repeated rows are as in groups(): texts
+    without words are alike; component_id is the group's smallest doc_id.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    all_ = written(rows.mapInArrow(_sketches(width), "doc_id long, text_hash long, node long, fp long, n long, shingles array<int>, prints array<long>"))
+    nodes = written(all_.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    filed = written(all_.select("node", F.explode("prints").alias("fp")).distinct())
+    classes = components(links(filed.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), F.col("root"))
+    filed = filed.join(classes, "fp", "left").select("node", F.coalesce("root", "fp").alias("bucket")).distinct()
+    shared = filed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    member = written(filed.join(shared, "bucket"))
+    meets = member.groupBy("node").agg(F.sum("size").alias("meets"))
+    member = written(member.join(meets, "node").select("bucket", "node", "meets"))
+    texts = written(all_.join(meets.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    told = nodes.select("node", "fp", "n")
+    order = Window.partitionBy("bucket").orderBy(F.col("meets").desc(), "node")
+    led = written(member.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads).select("bucket", F.col("node").alias("lead"), "place"))
+    lead_told = told.select(F.col("node").alias("lead"), F.col("fp").alias("lead_fp"), F.col("n").alias("lead_n"))
+
+    def alike(met: DataFrame) -> DataFrame:
+        """Links among met (node, lead)."""
+        both = met.distinct().join(told, "node").join(lead_told, "lead")
+        sizes = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n")
+        both = both.where(sizes & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS)).select("node", "lead")
+        both = both.join(texts.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead").join(texts, "node")
+        common = F.size(F.array_intersect("shingles", "lead_shingles"))
+        near = common >= similarity * (F.size("shingles") + F.size("lead_shingles") - common)
+        return both.where(near).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+    joined = written(alike(member.join(led.where("place = 1"), "bucket").where("node != lead").select("node", "lead")))
+    roots = components(joined)
+    apart = member.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    split = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    lead_roots = roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    others = led.where("place > 1").join(lead_roots, "lead", "left").select("bucket", "lead", F.coalesce("lead_root", "lead").alias("lead_root"))
+    met = written(apart.join(split, "bucket").join(others, "bucket").where("root != lead_root").select("node", "lead").distinct())
+    if not met.isEmpty():
+        joined = written(joined.unionAll(alike(met)))
+        roots = components(joined)
+    named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = named.join(best, "root").select("node", "component_id")
+    return all_.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of near_groups(): the one whose doc_id names it.
 
     All columns of docs stay. Of rows alike in doc_id and text one stays; of a group in which no row has a doc_id, one row for each text.
     """
-    chosen = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = written(chosen.select(F.col("doc_id").alias("_tm_id"), F.col("text_hash").alias("_tm_hash")).distinct())
+    chosen = near_groups(docs, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = chosen.groupBy(F.col("doc_id").alias("_tm_id"), F.col("text_hash").alias("_tm_hash")).agg(F.count("*").alias("_tm_n"))
+    keep = written(keep)
     own = docs.withColumns({"_tm_own": F.xxhash64("text"), "_tm_doc": F.col("doc_id").cast("long")})
-    kept = own.join(keep, F.col("_tm_doc").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_own") == F.col("_tm_hash")), "left_semi")
-    return kept.dropDuplicates(["_tm_doc", "_tm_own"]).drop("_tm_own", "_tm_doc")
+    both = own.join(keep, F.col("_tm_doc").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_own") == F.col("_tm_hash")))
+    kept = both.where("_tm_n = 1").unionAll(both.where("_tm_n > 1").dropDuplicates(["_tm_doc", "_tm_own"]))
+    return kept.select(*docs.columns)
 
 
 def brute_links(prints: list[int], radius: int = RADIUS) -> set[tuple[int, int]]:
@@ -128,6 +249,13 @@ def brute_links(prints: list[int], radius: int = RADIUS) -> set[tuple[int, int]]
     return {(i, j) for (i, x), (j, y) in combinations(enumerate(prints), 2) if (x ^ y).bit_count() <= radius}
 
 
+def brute_near(texts: list[str | None], width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> set[tuple[int, int]]:
+    """All index pairs of texts of that similarity, for tests."""
+    sets = [set(shingles((t or "").encode().lower().split(), width).tolist()) for t in texts]
+    return {(i, j) for (i, x), (j, y) in combinations(enumerate(sets), 2) if len(x & y) >= similarity * len(x | y)}
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """groups() of all documents, fingerprints as hex digits."""
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
