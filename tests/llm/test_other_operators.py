@@ -113,6 +113,19 @@ def page(body, extra=""):
     )
 
 
+def wrapper_of(streams):
+    whole = html.expression(streams[0])
+    for one in streams[1:]:
+        whole = html.align(whole, html.expression(one))
+    return html.load(html.dump(whole))
+
+
+def read(pages):
+    streams = [html.tokens(p) for p in pages]
+    told = html.known(html.decisions(wrapper_of(streams)))
+    return [html.extract(s, told) for s in streams]
+
+
 def test_main_text_of_known_pages():
     cases = [
         ("<article><h1>A &amp; B</h1><p>One\n  two<b> three<br><p>Four <i>fi</i>ve</p></article>", "A & B\nOne two three\nFour five"),
@@ -120,12 +133,22 @@ def test_main_text_of_known_pages():
         ('<div class="post-body"><p>p1</p><div class="share-links">Tweet</div><p>p2<!-- c --></p></div>', "p1\np2"),
         ("<article><p>unclosed &eacute;&#8364;&nbsp;x", "unclosed é€ x"),
         ('<div class="layout with-sidebar" data-id="ad"><article class="post has-comments"><header><h1>T</h1></header><p>x</p></article><article class="comment"><p>me too</p></article></div>', "T\nx"),
+        ('<article><div class="article-header">Lead</div><p>E = <math>mc</math></p></article>', "Lead\nE = mc"),
         ("<article></article>", ""),
     ]
     for body, want in cases:
-        one = html.blocks(page(body)) if "unclosed" not in body else html.blocks(page("").split("<aside>")[0] + body)
-        assert html.extract(one, html.regions(html.fold(one))) == want, body
-    assert html.blocks(None) == [] and html.blocks("") == [] and html.blocks("<<p>< a <") != []
+        assert read([page(body) if "unclosed" not in body else page("").split("<aside>")[0] + body]) == [want], body
+    assert html.tokens(None) == [] and html.tokens("") == [] and html.tokens("<<p>< a <") != []
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 100_000 + "<p>at the bottom</p>" + "</div>" * 100_000
+    assert read([deep, "<div><p>other</p></div>", deep]) == ["at the bottom", "other", "at the bottom"]
+    assert read(["<i>x</div></b>" * 1000 + "<p>end"])[0].endswith("\nend")
+    long = " ".join(["word"] * 300_000)
+    assert read([f"<article><p>{long}</p></article>"] * 2) == [long] * 2
+    many = "".join(f"<h2>h{k}</h2><p>{k}</p>" for k in range(5000))
+    assert len(read([many])[0].split("\n")) == 10_000
 
 
 def test_wrappers_find_template_text_where_elements_say_nothing(spark):
@@ -140,26 +163,92 @@ def test_wrappers_find_template_text_where_elements_say_nothing(spark):
 
 
 def test_wrappers_decide_beside_names():
-    def read(bodies):
-        pages = [html.blocks(page(b)) for b in bodies]
-        whole = html.fold(pages[0])
-        for one in pages[1:]:
-            whole = html.align(whole, html.fold(one))
-        return [html.extract(one, html.regions(whole)) for one in pages]
-
-    fixed = read([f"<article><h1>{prose(k, 3)}</h1><p>{prose(50 + k, 9)}</p><div>Tell your friends</div></article>" for k in range(20)])
+    fixed = read([page(f"<article><h1>{prose(k, 3)}</h1><p>{prose(50 + k, 9)}</p><div>Tell your friends</div></article>") for k in range(20)])
     assert fixed == [f"{prose(k, 3)}\n{prose(50 + k, 9)}" for k in range(20)]
-    hidden = read([f'<div class="story"><p>Win a prize</p></div><div><p>{prose(k, 30)}</p></div>' for k in range(20)])
+    among = read([page(f"<article><p>{prose(k, 9)}</p><p>{'All our stories are here. ' * 30}</p><p>{prose(90 + k, 9)}</p></article>") for k in range(20)])
+    assert among == [f"{prose(k, 9)}\n{prose(90 + k, 9)}" for k in range(20)]  # a string of most pages, whatever its length, in a slot that varies
+    hidden = read([page(f'<div class="story"><p>Win a prize</p></div><div><p>{prose(k, 30)}</p></div>') for k in range(20)])
     assert hidden == [prose(k, 30) for k in range(20)]
-    assert read(["<article><p>the same</p></article>"] * 20) == ["the same"] * 20
+    assert read([page("<article><p>the same</p></article>")] * 20) == ["the same"] * 20
+    few = read([page(f"<article><p>{prose(k, 9)}</p></article><div><p>Latest</p></div>") for k in range(3)])
+    assert few == [prose(k, 9) for k in range(3)]
+
+
+def shape(x):
+    return (x.label, x.optional, x.repeated, tuple(map(shape, x.items)))
+
+
+def test_wrappers_are_the_expressions_that_made_the_pages():
+    """Hosts whose pages are drawn from a random expression: the wrapper is that expression, with what was always there fixed and what came once single."""
+    import random
+
+    for seed in range(200):
+        r = random.Random(seed)
+        names = iter(f"section class=z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600))
+
+        def template(depth, r=r, names=names):
+            return [[next(names), r.random() < 0.4, r.random() < 0.3, template(depth - 1) if depth and r.random() < 0.6 else None] for _ in range(r.randint(1, 4))]
+
+        def drawn(items, r=r):
+            """A page's part, and the template with what was drawn: [tag, times seen by its parent, most at once, items]."""
+            out = []
+            for tag, optional, repeated, inner in items:
+                n = 0 if optional and r.random() < 0.5 else r.randint(1, 3) if repeated else 1
+                out.append((tag, n, [drawn(inner) if inner else None for _ in range(n)]))
+            return out
+
+        def markup(part):
+            return "".join("".join(f"<{tag}>{markup(p) if p else 'text' + str(k)}</section>" for k, p in enumerate(inner)) for tag, _, inner in part)
+
+        def union(items, parts):
+            out = []
+            for k, (tag, _, _, inner) in enumerate(items):
+                here = [p[k] for p in parts]
+                own = [q for _, _, some in here for q in some if q is not None and "text" in markup(q)]
+                children = union(inner, own) if inner and own else []
+                if any(n for _, n, _ in here) and (children or not inner):
+                    alone = [n and (not inner or any("text" in markup(q) for q in some)) for _, n, some in here]
+                    out.append((f"section[{tag[14:]}]body", not all(alone), children))
+            return out
+
+        def plain(x):
+            return [(y.label, y.optional, plain(y)) for y in x.items if y.label is not None]
+
+        items = template(2)
+        parts = [drawn(items) for _ in range(12)]
+        whole = wrapper_of([html.tokens(markup(p)) for p in parts])
+        assert labels(plain(whole)) == labels(union(items, parts)), seed
+        assert {k for k, v in flags(plain(whole)).items() if not v} <= {k for k, v in flags(union(items, parts)).items() if not v}, seed
+
+
+def labels(tree):
+    return {(label, frozenset(x for x, _, _ in inner)) for label, _, inner in flat(tree)}
+
+
+def flat(tree):
+    return [x for item in tree for x in (item, *flat(item[2]))]
+
+
+def flags(tree):
+    return {label: optional for label, optional, _ in flat(tree)}
+
+
+def test_repeats_fold_and_alignment_is_open_to_any_order():
+    x = html.expression(html.tokens("<ul>" + "<li>a</li>" * 5 + "</ul>" + "<h2>t</h2><p>x</p><p>y</p>" * 3))
+    assert shape(x)[3] == (("ul body", False, False, (("li body", False, True, ((None, False, False, ()),)),)), ("h2 body", False, True, ((None, False, False, ()),)), ("p body", False, True, ((None, False, False, ()),)))
+    pages = ["<p>a</p><p>b</p>", "<h6>ad</h6><p>c</p>", "<p>d</p><h6>ad</h6>", "<h6>ad</h6><p>e</p><h6>ad</h6>"]
+    import itertools
+
+    for order in itertools.permutations(pages):
+        whole = wrapper_of([html.tokens(p) for p in order])
+        assert whole.pages == 4 and {y.label for y in whole.items} == {"p body", "h6 body"}
+        assert any(y.optional for y in whole.items) and all(y.optional for y in whole.items if y.label == "h6 body")
 
 
-def test_alignment_merges_in_any_order():
-    a, b, c = (html.fold(html.blocks(x)) for x in ("<nav>m</nav><p>a</p><p>b</p>", "<nav>m</nav><div>ad</div><p>c</p>", "<nav>m</nav><p>d</p><div>ad</div>"))
-    whole = html.align(html.align(a, b), c)
-    by_path = {i[0]: i for i in whole["items"]}
-    assert whole["n"] == 3 and by_path["/nav"][1] == ["m"] and by_path["/p"][1] == ["a", "b", "c", "d"] and by_path["/p"][7] and by_path["/div"][6]
-    assert {i[0] for i in html.align(c, html.align(b, a))["items"]} == set(by_path)
+def test_counters_keep_what_most_pages_have():
+    a, b = {k: 1 for k in range(60)} | {999: 50}, {k: 1 for k in range(100, 150)} | {999: 30}
+    both = html._counted(a, b, False)
+    assert len(both) <= html.COUNTERS and both[999] >= 79
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
