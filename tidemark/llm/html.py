@@ -226,7 +226,8 @@ def pairs(x: list[Item], y: list[Item]) -> list[tuple[Item | None, Item | None]]
 
 def _counted(a: dict[int, int], b: dict[int, int], same_page: bool) -> dict[int, int]:
     if same_page:
-        return a | b
+        a.update(b)  # in place: a page may have very many
+        return a
     both = Counter(a)
     both.update(b)
     if len(both) <= COUNTERS:
@@ -247,7 +248,7 @@ def align(a: Item, b: Item, same_page: bool = False) -> Item:
         p.blocks += q.blocks
         p.words += q.words
         p.links += q.links
-        new = len(q.texts.keys() - p.texts.keys()) if same_page else q.seen
+        new = sum(h not in p.texts for h in q.texts) if same_page else q.seen
         p.texts, p.seen = _counted(p.texts, q.texts, same_page), p.seen + new
         if p.items or q.items:
             merged = []
