@@ -425,14 +425,29 @@ def test_secrets_query_digest(spark):
 
 
 def test_licences_against_sql(spark):
-    texts = [t for _, t in licences.TEMPLATES]
+    import random
+    import textwrap
+
+    r = random.Random(7)
+    names, texts = [n for n, _ in licences.TEMPLATES], [t for _, t in licences.TEMPLATES]
     docs = awkward() + [(200 + k, prose(k, 30) + "\n" + t + "\n" + prose(k, 9), "s") for k, t in enumerate(texts)]
-    docs += [(300, texts[0].upper() + " " + texts[0], "s"), (301, "licensed under the apache license version", "s"), (302, texts[4] + "\n" + texts[4] + "\n" + texts[2], "s")]
+    docs += [(300, texts[2].upper() + " " + texts[2], "s"), (301, "licensed under the apache license version", "s"), (302, texts[7] + "\n" + texts[7] + "\n" + texts[2], "s")]
+    for k, t in enumerate(texts):  # wrapped, as comments, a few words changed, in the middle of a file
+        w = t.split()
+        for _ in range(len(w) // 40):
+            w[r.randrange(len(w))] = "changed"
+        docs.append((400 + k, prose(50 + k, 200) + "\n" + textwrap.fill(" ".join(w), 72, initial_indent=" * ", subsequent_indent=" * ") + "\n" + prose(80 + k, 100), "s"))
+        docs.append((500 + k, "This library is free. " + t + " See the file COPYING.", "s"))
+        docs.append((600 + k, " ".join(r.sample(w, len(w))), "s"))
     found = licences.scan(documents(spark, docs))
     assert rows(found) == oracle(documents(spark, docs), licences.OP7_SQL)
-    by_id = {r.doc_id: r.licence for r in found.collect()}
-    assert [by_id[200 + k] for k in range(len(texts))] == [n for n, _ in licences.TEMPLATES]
-    assert by_id[4] is None and licences.scan(documents(spark, [])).count() == 0
+    by_id = {r.doc_id: r for r in found.collect()}
+    for at in (200, 400, 500):
+        assert [by_id[at + k].licence for k in range(len(texts))] == names, at
+    assert not any(by_id[600 + k].licence for k in range(len(texts)) if len(texts[k].split()) > 20)
+    assert by_id[4].licence is None and by_id[302].n_blocks >= 2 and licences.scan(documents(spark, [])).count() == 0
+    assert set(licences.marks([licences.bigrams(t) for t in texts], 0.8)) == set(licences.marks([licences.bigrams(t) for t in texts[::-1]], 0.8))
+    assert len(licences.marks([licences.bigrams(t) for t in texts], 0.8)) < 90
 
 
 def water_filling(sizes, weights=(5, 2, 1), share=1.5):
