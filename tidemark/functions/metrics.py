@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import clip, ratio
+from tidemark.operators import windows
 
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
@@ -72,9 +73,7 @@ def calibration(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:
 
 def equal_count_bins(df: DataFrame, score: str, tie: str, bins: int, by: list[str]) -> DataFrame:
     """df with `bin`: rows of a group in order of score, dealt into bins as equal as can be."""
-    w = Window.partitionBy(*by)
-    rn = F.row_number().over(w.orderBy(score, tie))
-    return df.withColumn("bin", F.floor((rn - 1) * bins / F.count("*").over(w)).cast("long"))
+    return windows.ordinal(df, score, tie, by).withColumn("bin", F.floor((F.col("rn") - 1) * bins / F.col("of")).cast("long")).drop("rn", "of")
 
 
 def block_bootstrap(df: DataFrame, block: str, value: str, draws: int, seed: int) -> DataFrame:

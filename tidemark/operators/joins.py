@@ -34,7 +34,7 @@ def complete(df: DataFrame, axes: list[DataFrame], fill: dict[str, object]) -> D
     """df with a row for every combination of the axes (small dimension lists), filled where it has none."""
     grid = axes[0]
     for a in axes[1:]:
-        grid = grid.crossJoin(F.broadcast(a))
+        grid = grid.crossJoin(a)  # no hint: the planner broadcasts what its size allows
     return grid.join(df, grid.columns, "left").fillna(fill)
 
 

@@ -19,7 +19,7 @@ class Store:
         rows = rows.withColumn("live", F.lit(live))
         if not live and self._exists():
             kept = self.read().where("live").select("week").distinct()
-            clash = rows.select("week").distinct().join(F.broadcast(kept), "week").limit(1).collect()
+            clash = rows.select("week").distinct().join(kept, "week").limit(1).collect()
             if clash:
                 raise ValueError(f"week {clash[0].week} is a live record")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(self.path)

@@ -38,8 +38,9 @@ def next_n_windows(spark, sf_dir):
 @query("""SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS BIGINT) AS place,
   count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS smaller FROM part""")
 def running_rank_range_frame(spark, sf_dir):
-    by = Window.partitionBy("p_brand")
-    return table(spark, sf_dir, "part").select("p_partkey", F.rank().over(by.orderBy(F.col("p_retailprice").desc())).cast("long").alias("place"), F.count("*").over(by.orderBy("p_size").rangeBetween(Window.unboundedPreceding, -1)).alias("smaller"))
+    priced = windows.with_places(table(spark, sf_dir, "part"), "p_retailprice", ["p_brand"])
+    priced = priced.select("p_partkey", "p_brand", "p_size", (F.col("of") - F.col("below") - F.col("n") + 1).alias("place"))
+    return windows.with_places(priced, "p_size", ["p_brand"]).select("p_partkey", "place", F.col("below").alias("smaller"))
 
 
 @query("""WITH x AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -64,7 +65,7 @@ def cumulative_cap(spark, sf_dir):
 
 @query("""SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_from_here FROM events""")
 def reverse_running_min(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
+    w = windows.backward(["user_id"], ["ts", "event_id"]).rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "events").select("event_id", F.min("value").over(w).alias("least_from_here"))
 
 
@@ -121,6 +122,5 @@ SELECT o_custkey, round(sum(CASE WHEN n > 1 THEN below / CAST(n - 1 AS DOUBLE) E
 def all_play_luck(spark, sf_dir):
     """Wins against every other customer of a month: the number below is a rank, so no pair of customers is made."""
     m = table(spark, sf_dir, "orders").groupBy("o_custkey", F.date_trunc("month", F.col("o_orderdate")).alias("m")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("t"))
-    by = Window.partitionBy("m")
-    p = m.withColumns({"n": F.count("*").over(by), "below": F.rank().over(by.orderBy("t")) - 1})
-    return p.groupBy("o_custkey").agg(F.round(F.sum(F.coalesce(ratio(F.col("below"), F.col("n") - 1), F.lit(0.0))), 6).alias("all_play_wins"), F.count("*").alias("months"))
+    p = windows.with_places(m, "t", ["m"])
+    return p.groupBy("o_custkey").agg(F.round(F.sum(F.coalesce(ratio(F.col("below"), F.col("of") - 1), F.lit(0.0))), 6).alias("all_play_wins"), F.count("*").alias("months"))

@@ -1,5 +1,6 @@
 """As-of views, availability rules, joins in time, audits."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import exact_sum, flag
@@ -34,10 +35,10 @@ def asof_orders_by_nation(spark, sf_dir):
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_shipdate + INTERVAL 60 DAY <= TIMESTAMP '{AS_OF} 23:59:59.999999' THEN l_returnflag END AS l_returnflag
-FROM lineitem WHERE l_shipdate + INTERVAL 1 DAY <= TIMESTAMP '{AS_OF} 23:59:59.999999' AND l_quantity > 45""")
+FROM lineitem WHERE l_shipdate + INTERVAL 1 DAY <= TIMESTAMP '{AS_OF} 23:59:59.999999'""")
 def asof_masked_view(spark, sf_dir):
     session = asof.AsOfSession(spark, loaders(sf_dir, "lineitem"), RULES, AS_OF)
-    return session.sql("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 45")
+    return session.sql("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
 
 
 @query(f"""SELECT c_custkey, c_nationkey FROM customer JOIN (SELECT o_custkey, min({AVAILABLE_SQL}) AS first_at FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey
@@ -52,7 +53,7 @@ def asof_hindsight_allowlist(spark, sf_dir):
 WHERE ts + INTERVAL 6 HOUR > TIMESTAMP '2024-01-10 00:00:00' AND ts + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-17 00:00:00' GROUP BY user_id""")
 def outcomes_after_window(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("available_at", F.expr("ts + interval 6 hour"))
-    return asof.outcomes(e, "2024-01-10T00:00:00", "2024-01-17T00:00:00").groupBy("user_id").agg(F.count("*").alias("n"), exact_sum("value").alias("total"))
+    return asof.outcomes(e, "2024-01-10T00:00:00+00:00", "2024-01-17T00:00:00+00:00").groupBy("user_id").agg(F.count("*").alias("n"), exact_sum("value").alias("total"))
 
 
 @query(f"SELECT o_orderpriority, count(*) AS n, min({AVAILABLE_SQL}) AS first_at, max({AVAILABLE_SQL}) AS last_at FROM orders GROUP BY o_orderpriority")
@@ -65,8 +66,6 @@ def availability_branches(spark, sf_dir):
 SELECT CAST(week AS TIMESTAMP) AS week, CAST(lag(week) OVER (ORDER BY week) AS TIMESTAMP) AS previous, CAST(lead(week) OVER (ORDER BY week) AS TIMESTAMP) AS following,
        week = max(week) OVER (PARTITION BY year(week)) AS last_of_year FROM w""")
 def calendar_weeks(spark, sf_dir):
-    from pyspark.sql import Window
-
     weeks = table(spark, sf_dir, "events").select(F.date_trunc("week", F.col("ts")).cast("timestamp_ntz").alias("week")).distinct()
     w = Window.orderBy("week")  # one row a week of the calendar, whatever the events are
     last = F.col("week") == F.max("week").over(Window.partitionBy(F.year("week")))
@@ -130,7 +129,7 @@ def grid_zero_fill(spark, sf_dir):
 @query("""SELECT c_nationkey, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS vacated, count(*) AS n FROM customer c
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01') GROUP BY c_nationkey""")
 def anti_vacated_share(spark, sf_dir):
-    late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= asof.stamp("2000-01-01T00:00:00"))
+    late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= asof.stamp("2000-01-01T00:00:00+00:00"))
     gone = table(spark, sf_dir, "customer").join(late, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
     return gone.groupBy("c_nationkey").agg(exact_sum("c_acctbal").alias("vacated"), F.count("*").alias("n"))
 
@@ -144,12 +143,15 @@ def semi_filter_share(spark, sf_dir):
     return both.groupBy("event_type").agg(F.count("user_id").alias("users"), (F.count("buyer") / F.count("user_id")).alias("share"))
 
 
-@query("""SELECT d.lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS k, lang FROM documents) d
-JOIN (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS k, quality FROM labels WHERE doc_id % 7 <> 0 OR doc_id = 7) l ON d.k IS NOT DISTINCT FROM l.k GROUP BY d.lang""")
+@query("""WITH f AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS k FROM orders),
+r AS (SELECT DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS k FROM orders), g AS (SELECT k, row_number() OVER (ORDER BY k NULLS FIRST) AS grade FROM r)
+SELECT f.k AS priority, any_value(grade) AS grade, count(*) AS n FROM f JOIN g ON f.k IS NOT DISTINCT FROM g.k GROUP BY f.k""")
 def null_safe_link(spark, sf_dir):
-    key = F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("k")
-    d, x = table(spark, sf_dir, "documents").select(key, "lang"), table(spark, sf_dir, "labels").where("doc_id % 7 <> 0 OR doc_id = 7").select(key, "quality")
-    return joins.null_safe(d, x, ["k"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("good"))
+    """Priorities, null among them, linked to their grade: the side with repeated keys, a null one too, is counted before the join."""
+    key = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority")
+    f = table(spark, sf_dir, "orders").groupBy(key).agg(F.count("*").alias("n"))
+    grades = f.select("priority", F.row_number().over(Window.orderBy(F.col("priority").asc_nulls_first())).cast("long").alias("grade"))  # one row a priority
+    return joins.null_safe(f, grades, ["priority"]).select("priority", "grade", "n")
 
 
 @query("""SELECT event_id, value > 100 AS large, coalesce(event_type = 'purchase' AND value > 50, false) AS big_buy, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0, false) AS even_k FROM events""")
@@ -163,13 +165,13 @@ def id_canonicalize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(entity.canonical(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(".0 "))).alias("id"), "c_name")
 
 
-@query("""WITH c AS (SELECT 'customer' AS id_type, c_nationkey % 5 AS source_id, c_custkey AS entity, (c_custkey // 40) % 3 AS p FROM customer WHERE c_custkey % 37 = 5),
+@query("""WITH c AS (SELECT 'customer' AS id_type, c_custkey % 400 AS source_id, c_custkey // 2 AS entity, (c_custkey // 40) % 3 AS p FROM customer),
 b AS (SELECT id_type, source_id, min(p) AS p FROM c GROUP BY ALL)
 SELECT c.id_type, c.source_id, CASE WHEN min(entity) = max(entity) THEN min(entity) END AS entity, count(DISTINCT entity) AS n_entities
 FROM c JOIN b ON c.id_type = b.id_type AND c.source_id = b.source_id AND c.p = b.p GROUP BY ALL""")
 def bridge_resolve(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 37 = 5")
-    c = c.select(F.lit("customer").alias("id_type"), (F.col("c_nationkey") % 5).alias("source_id"), F.col("c_custkey").alias("entity"), (F.expr("c_custkey div 40") % 3).alias("p"))
+    c = table(spark, sf_dir, "customer")
+    c = c.select(F.lit("customer").alias("id_type"), (F.col("c_custkey") % 400).alias("source_id"), F.expr("c_custkey div 2").alias("entity"), (F.expr("c_custkey div 40") % 3).alias("p"))
     return entity.bridge(c, "id_type", "source_id", "entity", "p")
 
 
@@ -180,8 +182,6 @@ def list_compare_timemachine(spark, sf_dir):
     p = table(spark, sf_dir, "part")
 
     def top(by):
-        from pyspark.sql import Window
-
         first = p.orderBy(F.col(by).desc(), "p_partkey").limit(50)
         return first.select("p_partkey", F.row_number().over(Window.orderBy(F.col(by).desc(), "p_partkey")).cast("long").alias("place"))
 
@@ -207,6 +207,7 @@ def leakage_invariance(spark, sf_dir):
     return asof.invariant(build, tables, RULES, AS_OF).select("n_regionkey", "variant", "n_name")
 
 
-@query("SELECT count(*) AS n FROM nation")
+@query("""SELECT count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS hash FROM (SELECT md5(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS h FROM nation)""")
 def content_hash_audit(spark, sf_dir):
-    return model.content_hash(table(spark, sf_dir, "nation")).select("n")
+    """The hash of a small table in a form that any engine can repeat; content_hash() of operators.model has no sort and suits large ones."""
+    return model.portable_hash(table(spark, sf_dir, "nation"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics
 from tidemark.functions.exprs import exact_sum, linear_score, ratio, shrunk, tier_score, wilson_low
-from tidemark.operators import walkforward
+from tidemark.operators import joins, walkforward, windows
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -20,9 +20,9 @@ def scored(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity * 0.5 + l_discount * -10.0 + l_tax * 4.0 AS linear,
- CASE WHEN l_quantity >= 40 THEN 5.0 WHEN l_quantity >= 20 THEN 2.5 ELSE -1.0 END::DOUBLE AS tier FROM lineitem WHERE l_linenumber = 1""")
+ CASE WHEN l_quantity >= 40 THEN 5.0 WHEN l_quantity >= 20 THEN 2.5 ELSE -1.0 END::DOUBLE AS tier FROM lineitem""")
 def linear_tier_scores(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    x = table(spark, sf_dir, "lineitem")
     return x.select("l_orderkey", "l_linenumber", linear_score({"l_quantity": 0.5, "l_discount": -10, "l_tax": 4}).alias("linear"), tier_score(F.col("l_quantity"), [(40, 5), (20, 2.5)], -1).alias("tier"))
 
 
@@ -62,8 +62,7 @@ def weighted_median(spark, sf_dir):
 
 @query("""SELECT l_returnflag, quantile_disc(l_extendedprice, 0.1) AS low, quantile_cont(l_extendedprice, 0.5) AS mid, quantile_disc(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY l_returnflag""")
 def residual_quantile_ranges(spark, sf_dir):
-    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY l_extendedprice)")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(disc(0.1).alias("low"), F.percentile("l_extendedprice", 0.5).alias("mid"), disc(0.9).alias("high"))
+    return windows.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], {"low": 0.1, "high": 0.9}, {"mid": 0.5})
 
 
 @query("""SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS level, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
@@ -89,14 +88,15 @@ def wilson_intervals(spark, sf_dir):
 @query("""WITH d AS (SELECT c_mktsegment AS s, CAST(floor(c_acctbal / 500) AS BIGINT) AS v, count(*) AS n FROM customer GROUP BY ALL), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY s) AS BIGINT) AS t FROM d)
 SELECT a.s AS a, b.s AS b, round(CAST(sum(CASE WHEN a.v > b.v THEN 2 WHEN a.v = b.v THEN 1 ELSE 0 END * a.n * b.n) AS DOUBLE) / (2.0 * any_value(a.t) * any_value(b.t)), 9) AS p FROM c a JOIN c b ON a.s < b.s GROUP BY ALL""")
 def prob_a_beats_b(spark, sf_dir):
-    """P(A > B) + P(A = B) / 2 between segments over their distributions' atoms: pairs of bins, a bounded grid, never of customers."""
+    """P(A > B) + P(A = B) / 2 between segments: a segment's atoms meet the other's running sums, by an equal bin, never customers or pairs of bins."""
     v = F.floor(F.col("c_acctbal") / 500)
     d = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("s"), v.alias("v")).agg(F.count("*").alias("n"))
-    d = d.withColumn("t", F.sum("n").over(Window.partitionBy("s")))
-    other = d.select(*[F.col(c).alias(f"o_{c}") for c in d.columns])
-    wins = F.when(F.col("v") > F.col("o_v"), 2).when(F.col("v") == F.col("o_v"), 1).otherwise(0)
-    pairs = d.join(F.broadcast(other), F.col("s") < F.col("o_s")).groupBy(F.col("s").alias("a"), F.col("o_s").alias("b"))
-    return pairs.agg(F.round(F.sum(wins * F.col("n") * F.col("o_n")).cast("double") / (2.0 * F.first("t") * F.first("o_t")), 9).alias("p"))
+    d = joins.complete(d, [d.select("s").distinct(), d.select("v").distinct()], {"n": 0})
+    w = Window.partitionBy("s")
+    d = d.withColumns({"t": F.sum("n").over(w), "under": F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")})
+    other = d.select("v", F.col("s").alias("o_s"), F.col("n").alias("o_n"), F.col("under").alias("o_under"), F.col("t").alias("o_t"))
+    pairs = d.join(other, "v").where("s < o_s").groupBy(F.col("s").alias("a"), F.col("o_s").alias("b"))
+    return pairs.agg(F.round(F.sum(F.col("n") * (2 * F.col("o_under") + F.col("o_n"))).cast("double") / (2.0 * F.max("t") * F.max("o_t")), 9).alias("p"))
 
 
 @query("""WITH d AS (SELECT CAST(l_quantity AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1)
