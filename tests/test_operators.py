@@ -21,32 +21,79 @@ def test_moment_reads_dates_zones_and_texts():
     assert asof.moment(dt.date(2024, 1, 2)) == asof.moment("2024-01-02")
 
 
+AT2 = dt.datetime(2024, 1, 1, 2, tzinfo=dt.UTC)
+
+
 def events(spark):
     return spark.createDataFrame([(1, at(1), 1.0), (2, at(2), 2.0), (3, at(3), 3.0)], "id int, available_at timestamp_ntz, v double")
 
 
 def test_a_row_is_known_at_its_own_moment_and_an_outcome_after(spark):
     e = events(spark)
-    assert {r.id for r in asof.known(e, at(2)).collect()} == {1, 2}
-    assert {r.id for r in asof.outcomes(e, at(2), at(3)).collect()} == {3}
+    assert {r.id for r in asof.known(e, AT2).collect()} == {1, 2}
+    assert {r.id for r in asof.outcomes(e, AT2, AT2 + dt.timedelta(hours=1)).collect()} == {3}
 
 
 def test_session_shows_views_only_and_refuses_tables_without_a_rule(spark):
     load = {"e": lambda s: events(s), "m": lambda s: events(s)}
-    session = asof.AsOfSession(spark, load, {"e": asof.Rule("event", masks={"v": "available_at + interval 1 hour"}), "m": asof.Rule("meta")}, at(2))
+    session = asof.AsOfSession(spark, load, {"e": asof.Rule("event", masks={"v": "available_at + interval 1 hour"}), "m": asof.Rule("meta")}, AT2)
     assert [(r.id, r.v) for r in session.sql("select id, v from e order by id").collect()] == [(1, 1.0), (2, None)]
     assert "m" not in session.views and not spark.catalog.tableExists("e")
     with pytest.raises(ValueError):
-        asof.AsOfSession(spark, load, {"e": asof.Rule("static")}, at(2))
+        asof.AsOfSession(spark, load, {"e": asof.Rule("static")}, AT2)
+
+
+def test_moments_must_say_their_zone():
+    for bad in (dt.datetime(2024, 1, 1), "2024-01-01T00:00:00"):
+        with pytest.raises(TypeError):
+            asof.moment(bad)
+    with pytest.raises(TypeError):
+        asof.moment(5)
+    assert asof.parse("2024-W7") == (2024, 7) and asof.parse(" 2024-01-01T00:00:00Z ") == dt.datetime(2024, 1, 1)
+    for bad in ("2024-W", "yesterday", "2024-01-01T00:00:00"):
+        with pytest.raises((ValueError, TypeError)):
+            asof.parse(bad)
+    assert asof.mentioned("select * from Orders o join \"nation\"", ["orders", "nation", "order"]) == ["nation", "orders"]
+
+
+def test_what_can_not_decide_availability_is_refused(spark):
+    e = events(spark)
+    with pytest.raises(ValueError, match="no column"):
+        asof.known(e.drop("available_at"), AT2)
+    with pytest.raises(TypeError, match="not a moment"):
+        asof.known(e.withColumn("available_at", F.lit("2024")), AT2)
+    with pytest.raises(ValueError, match="null"):
+        asof.known(e.withColumn("available_at", F.when(F.col("id") > 1, F.col("available_at"))), AT2)
+    with pytest.raises(ValueError, match="joined"):
+        asof.outcomes(e.withColumn("available_at_right", F.col("available_at")), AT2)
+
+
+def test_leaks_are_found(spark):
+    secret = spark.createDataFrame([(1, at(1), at(1), "a", True, dt.date(2024, 1, 1)), (2, at(1), at(3), "b", False, dt.date(2024, 1, 2)), (3, None, at(1), "c", None, None)], "id int, available_at timestamp_ntz, later timestamp_ntz, s string, b boolean, d date")
+    tables = {"e": events(spark), "m": secret, "h": secret}
+    rules = {"e": asof.Rule("event"), "m": asof.Rule("event", masks={"s": "later", "b": "later"}), "h": asof.Rule("hindsight", allowed=("id", "available_at"))}
+    leaks = lambda build: {r.variant for r in asof.invariant(build, tables, rules, AT2).collect()}
+    assert leaks(lambda w: w.view("e").agg(F.sum("v"))) == set()
+    assert leaks(lambda w: w.view("m").select("id", "s", "b", "d").unionAll(w.view("h").select("id", F.lit(""), F.lit(True), F.current_date()))) == set()
+    assert leaks(lambda w: w.raw("e").agg(F.max("v"))) == {"deleted", "scrambled"}
+    assert leaks(lambda w: asof.known(w.raw("m"), AT2, check=False).select("s")) == {"scrambled"}
+    assert leaks(lambda w: asof.known(w.raw("m"), AT2, check=False).select("b")) == {"scrambled"}
+    assert leaks(lambda w: w.raw("h").where("id = 1").select("d")) == {"scrambled"}
+    assert leaks(lambda w: w.raw("h").select("id")) == {"deleted", "scrambled"}  # a row without a moment isn't public
+    with pytest.raises(ValueError):
+        asof.World(tables, {"e": asof.Rule("meta")}, AT2).view("e")
+
+
+def test_every_type_is_scrambled(spark):
+    x = spark.sql("select 1 i, 2L l, 1.5D d, 1.25BD c, true b, 'ab' s, timestamp_ntz'2024-01-01' t, date'2024-01-01' e, cast(null as string) n")
+    y = x.select(*[asof.scrambled(F.col(c), k).alias(c) for c, k in x.dtypes])
+    assert all(a != b for a, b in zip(x.first(), y.first(), strict=True)) and [k for _, k in y.dtypes][:6] == [k for _, k in x.dtypes][:6]
 
 
-def test_leak_is_found(spark):
-    rules = {"e": asof.Rule("event")}
-    fair = asof.invariant(lambda v: v["e"].agg(F.sum("v").alias("s")), {"e": events(spark)}, rules, at(2))
-    assert fair.count() == 0
-    whole = events(spark)
-    leaky = asof.invariant(lambda v: v["e"].agg(F.sum("v").alias("s")).crossJoin(whole.agg(F.max("v").alias("m"))), {"e": whole}, {"e": asof.Rule("static")}, at(2))
-    assert leaky.count() == 0  # a static table has no late rows to change
+def test_difference_names_what_differs(spark):
+    a = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, "y"), (None, 3.0, "z")], "k int, v double, s string")
+    b = spark.createDataFrame([(1, 1.0 + 1e-9, "x"), (None, 4.0, "q"), (5, 1.0, "w")], "k int, v double, s string")
+    assert {(r.k, r.what) for r in asof.difference(a, b, ["k"]).collect()} == {(2, "missing"), (None, "v,s"), (5, "new")}
 
 
 def test_asof_join_takes_the_last_at_or_before(spark):

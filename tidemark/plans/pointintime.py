@@ -195,16 +195,38 @@ def store_replace_week(spark, sf_dir):
     return store.merged(o, new, "week").groupBy("week").agg(F.count("*").alias("n"), exact_sum("o_totalprice").alias("total"))
 
 
-@query("SELECT n_regionkey, 'x' AS variant, n_name FROM nation WHERE false")
-def leakage_invariance(spark, sf_dir):
-    """Empty: nothing that was not yet available changes what the as-of build gives."""
-    tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation")}
+_LATE_ORDERS = f"SELECT o_orderpriority AS k, o_totalprice AS v, {AVAILABLE_SQL} > TIMESTAMP '{AS_OF} 23:59:59.999999' AS late FROM orders"
+_LATE_LINES = f"SELECT l_linenumber AS k, l_returnflag AS v, l_shipdate + INTERVAL 60 DAY > TIMESTAMP '{AS_OF} 23:59:59.999999' AS late FROM lineitem WHERE l_shipdate + INTERVAL 1 DAY <= TIMESTAMP '{AS_OF} 23:59:59.999999'"
 
-    def build(v):
-        known = v["orders"].join(v["customer"], F.col("o_custkey") == F.col("c_custkey")).join(v["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        return known.groupBy("n_regionkey", "n_name").agg(exact_sum("o_totalprice").alias("total"))
 
-    return asof.invariant(build, tables, RULES, AS_OF).select("n_regionkey", "variant", "n_name")
+@query(f"""WITH o AS ({_LATE_ORDERS}), l AS ({_LATE_LINES}),
+s AS (SELECT k, count(*) AS n, sum(CAST(v AS DECIMAL(18,2))) AS a, sum(CAST(v AS DECIMAL(18,2))) FILTER (WHERE NOT late) AS b, count(*) FILTER (WHERE NOT late) AS m,
+        sum(CAST(CASE WHEN late THEN -v - 1 ELSE v END AS DECIMAL(18,2))) AS c FROM o GROUP BY k),
+f AS (SELECT k, count(*) FILTER (WHERE v = 'R') AS a, count(*) FILTER (WHERE CASE WHEN late THEN '~' || v ELSE v END = 'R') AS c FROM l GROUP BY k)
+SELECT 'raw total' AS build, 'deleted' AS variant, CAST(sum(CASE WHEN m = 0 THEN 1 WHEN a <> b THEN 2 ELSE 0 END) AS BIGINT) AS n FROM s
+UNION ALL SELECT 'raw total', 'scrambled', sum(CASE WHEN a <> c THEN 2 ELSE 0 END) FROM s
+UNION ALL SELECT 'raw flags', 'scrambled', sum(CASE WHEN a <> c THEN 2 ELSE 0 END) FROM f""")
+def leakage_invariance(spark, sf_dir):
+    """Rows that builds give differently without the future: an as-of one none, one that reads the raw table, and one that reads a column before it is public, many."""
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "lineitem")}
+
+    def fair(world):
+        o = world.view("orders").join(world.view("customer"), F.col("o_custkey") == F.col("c_custkey")).join(world.view("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        flags = world.view("lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.sum("l_quantity").alias("total"))
+        return o.groupBy(F.col("n_name").alias("k")).agg(exact_sum("o_totalprice").alias("total")).unionAll(flags)
+
+    def raw_total(world):
+        return world.raw("orders").groupBy(F.col("o_orderpriority").alias("k")).agg(exact_sum("o_totalprice").alias("total"))
+
+    def raw_flags(world):
+        shown = world.raw("lineitem").where(F.expr("l_shipdate + interval 1 day") <= asof.stamp(AS_OF))
+        return shown.groupBy(F.col("l_linenumber").cast("string").alias("k")).agg(F.count_if(F.col("l_returnflag") == "R").cast("double").alias("total"))
+
+    out = None
+    for name, build in (("fair", fair), ("raw total", raw_total), ("raw flags", raw_flags)):
+        found = asof.invariant(build, tables, RULES, AS_OF).groupBy(F.lit(name).alias("build"), "variant").agg(F.count("*").alias("n"))
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 @query("""SELECT count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS hash FROM (SELECT md5(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS h FROM nation)""")
