@@ -1,6 +1,6 @@
 """All queries over the test tables, and the SQL that an independent engine answers them with."""
 
-from tidemark.plans import history, lists, pointintime, rates
+from tidemark.plans import calendar, entities, history, lists, pointintime, rates, scalars
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "history", "lists", "pointintime", "rates"]
+__all__ = ["ORACLE_SQL", "QUERIES", "calendar", "entities", "history", "lists", "pointintime", "rates", "scalars"]

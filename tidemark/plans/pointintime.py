@@ -204,8 +204,8 @@ s AS (SELECT k, count(*) AS n, sum(CAST(v AS DECIMAL(18,2))) AS a, sum(CAST(v AS
         sum(CAST(CASE WHEN late THEN -v - 1 ELSE v END AS DECIMAL(18,2))) AS c FROM o GROUP BY k),
 f AS (SELECT k, count(*) FILTER (WHERE v = 'R') AS a, count(*) FILTER (WHERE CASE WHEN late THEN '~' || v ELSE v END = 'R') AS c FROM l GROUP BY k)
 SELECT 'raw total' AS build, 'deleted' AS variant, CAST(sum(CASE WHEN m = 0 THEN 1 WHEN a <> b THEN 2 ELSE 0 END) AS BIGINT) AS n FROM s
-UNION ALL SELECT 'raw total', 'scrambled', sum(CASE WHEN a <> c THEN 2 ELSE 0 END) FROM s
-UNION ALL SELECT 'raw flags', 'scrambled', sum(CASE WHEN a <> c THEN 2 ELSE 0 END) FROM f""")
+UNION ALL SELECT 'raw total', 'scrambled', CAST(sum(CASE WHEN a <> c THEN 2 ELSE 0 END) AS BIGINT) FROM s
+UNION ALL SELECT 'raw flags', 'scrambled', CAST(sum(CASE WHEN a <> c THEN 2 ELSE 0 END) AS BIGINT) FROM f""")
 def leakage_invariance(spark, sf_dir):
     """Rows that builds give differently without the future: an as-of one none, one that reads the raw table, and one that reads a column before it is public, many."""
     tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "lineitem")}
