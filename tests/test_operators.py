@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import exprs, metrics
-from tidemark.operators import asof, entity, joins, model, store, windows
+from tidemark.functions import exprs, metrics, resample
+from tidemark.operators import asof, entity, joins, model, store, walkforward, windows
 from tidemark.sources import tables
 from tidemark.streaming import live
 
@@ -146,14 +146,40 @@ def test_areas_settle_ties_by_halves(spark):
 
 def test_bootstrap_is_the_same_on_every_run(spark):
     x = spark.createDataFrame([(k % 30, k % 2) for k in range(300)], "b int, y int")
-    one = sorted(metrics.block_bootstrap(x, "b", "y", 100, 3).collect())
-    assert one == sorted(metrics.block_bootstrap(x.repartition(5), "b", "y", 100, 3).collect())
-    assert 0.3 < sum(r.mean for r in one) / 100 < 0.7
+    one = sorted(resample.block_means(x, "b", "y", 100, 3).collect())
+    assert len(one) == 100 and one == sorted(resample.block_means(x.repartition(5), "b", "y", 100, 3).collect())
+    times = resample.index_table(x.select("b").distinct(), "b", 50, 1).groupBy("draw").agg(F.sum("times").alias("n")).collect()
+    assert {r.n for r in times} == {30}
+    with pytest.raises(ValueError, match="different groups"):
+        resample.paired(x.select("b", "y").limit(3), x.select("b", "y").limit(2), ["b"], "y")
+
+
+def test_folds_look_back(spark):
+    assert walkforward.plan([2001, 2002, 2003, 2004], [2004, 2003]) == [walkforward.Fold(2003, 2002, (2001,)), walkforward.Fold(2004, 2003, (2001, 2002))]
+    with pytest.raises(ValueError):
+        walkforward.plan([2003, 2004], [2004])
+    rows = spark.createDataFrame([(2001,), (2003,)], "season int")
+    with pytest.raises(ValueError, match="2003"):
+        walkforward.before(rows, "season", 2003)
+    assert walkforward.before(rows, "season", 2004).count() == 2
+
+
+def test_versions_have_one_current_and_content_ids(spark):
+    assert store.version_of(a=1, b="x") == store.version_of(b="x", a=1) != store.version_of(a=2, b="x")
+    v = spark.createDataFrame([("m", 1, "v1"), ("m", 2, "v2"), ("n", 1, "v3")], "model string, t int, version string")
+    assert sorted(map(tuple, store.current(v, ["model"], "t", "version").collect())) == [("m", "v2", 2), ("n", "v3", 1)]
+    with pytest.raises(Exception, match="versions of one moment"):
+        store.current(v.unionByName(v.withColumn("version", F.lit("w"))), ["model"], "t", "version").collect()
+    again = store.registered(v, spark.createDataFrame([("m", 9, "v1"), ("q", 1, "v9")], v.schema), "version", "t")
+    assert sorted(map(tuple, again.collect())) == [("m", 2, "v2"), ("m", 9, "v1"), ("n", 1, "v3"), ("q", 1, "v9")]
 
 
 def test_names_ids_and_bridges(spark):
-    x = spark.createDataFrame([(" 12.0 ", "Bob  O'Neil Jr."), ("nan", "AL x III"), ("007", "")], "i string, n string")
-    assert [tuple(r) for r in x.select(entity.canonical(F.col("i")), entity.name_key(F.col("n"))).collect()] == [("12", "bob oneil"), (None, "al x"), ("007", "")]
+    x = spark.createDataFrame([(" 12.0 ", "Bob  O'Neil Jr."), ("nan", "AL x III"), ("007", ""), ("v1.0", "José Núñez V"), ("1.50", "A.J. St-Brown"), ("", None)], "i string, n string")
+    got = [tuple(r) for r in x.select(entity.canonical(F.col("i")), entity.name_key(F.col("n"))).collect()]
+    assert got == [("12", "bob oneil"), (None, "al x"), ("007", ""), ("v1.0", "jose nunez"), ("1.50", "aj st brown"), (None, None)]
+    with pytest.raises(Exception, match="not in the mapping"):
+        x.select(entity.strict(F.col("i"), {"nan": "b"})).collect()
     c = spark.createDataFrame([("t", 1, "a", 0), ("t", 1, "b", 1), ("t", 2, "a", 0), ("t", 2, "b", 0)], "id_type string, source_id int, e string, pr int")
     assert sorted(map(tuple, entity.bridge(c, "id_type", "source_id", "e", "pr").collect())) == [("t", 1, "a", 1), ("t", 2, None, 2)]
 

@@ -21,6 +21,25 @@ def precision_at(df: DataFrame, by: list[str], score: str, label: str, tie: str,
     return top.groupBy(*by).agg(F.sum(label).cast("long").alias("hits"), F.count("*").alias("n")).withColumn("precision", ratio(F.col("hits"), F.col("n")))
 
 
+def at_k(ranked: DataFrame, by: list[str], label: str, k: int, place: str = "place") -> DataFrame:
+    """Per group of a ranked list: rows, positives, hits among the first k, precision over k, and whether it is shorter than k."""
+    hits = F.coalesce(F.sum(F.when(F.col(place) <= k, F.col(label))), F.lit(0)).cast("long")
+    per = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("pos"), hits.alias("hits"))
+    return per.withColumns({"precision": F.col("hits") / F.lit(float(k)), "short": F.col("n") < k})
+
+
+def pooled(per_group: DataFrame) -> DataFrame:
+    """Mean precision over groups, each counting once, and what it rests on."""
+    return per_group.agg(F.round(F.avg("precision"), 9).alias("precision"), F.count("*").alias("n_groups"), F.count_if("short").alias("n_short"), F.sum("n").cast("long").alias("n_rows"))
+
+
+def bucket_rates(ranked: DataFrame, label: str, bands: list[tuple[int, int]], place: str = "place") -> DataFrame:
+    """Hit rate by band of places, both ends included."""
+    band = F.coalesce(*[F.when(F.col(place).between(a, b), f"{a}-{b}") for a, b in bands])
+    per = ranked.withColumn("band", band).where("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("hits"))
+    return per.withColumn("rate", ratio(F.col("hits"), F.col("n")))
+
+
 def brier(p: Column, label: Column) -> Column:
     return F.avg((p - label) * (p - label))
 
@@ -68,22 +87,9 @@ def calibration(df: DataFrame, score: str, label: str, bins: int) -> DataFrame:
     spark = df.sparkSession
     where = F.least(F.floor(clip(F.col(score), 0.0, 1.0) * bins), F.lit(bins - 1)).cast("long")
     got = df.groupBy(where.alias("bin")).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
-    return spark.range(bins).withColumnRenamed("id", "bin").join(F.broadcast(got), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos"))
+    return spark.range(bins).withColumnRenamed("id", "bin").join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos"))
 
 
 def equal_count_bins(df: DataFrame, score: str, tie: str, bins: int, by: list[str]) -> DataFrame:
     """df with `bin`: rows of a group in order of score, dealt into bins as equal as can be."""
     return windows.ordinal(df, score, tie, by).withColumn("bin", F.floor((F.col("rn") - 1) * bins / F.col("of")).cast("long")).drop("rn", "of")
-
-
-def block_bootstrap(df: DataFrame, block: str, value: str, draws: int, seed: int) -> DataFrame:
-    """Mean of value in `draws` resamples of whole blocks. A block's number in a draw is Poisson(1), from a hash of seed, draw and block: no index
-    table, the same on every run, and only per-block sums meet the draws."""
-    sums = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(block).cast("string")), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u")
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = F.lit(0)
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", "s", "n", u)
-    for c in cuts:
-        times = times + (F.col("u") >= c).cast("int")
-    return drawn.groupBy("draw").agg(ratio(F.sum(times * F.col("s")), F.sum(times * F.col("n"))).alias("mean"))

@@ -188,13 +188,6 @@ def list_compare_timemachine(spark, sf_dir):
     return store.compared(top("p_retailprice"), top("p_size"), ["p_partkey"], "place")
 
 
-@query("""SELECT o_orderpriority AS week, count(*) AS n, CAST(sum(CAST(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE o_totalprice END AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1""")
-def store_replace_week(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("week"), "o_totalprice")
-    new = o.where("week in ('1-URGENT', '2-HIGH')").withColumn("o_totalprice", F.lit(0.0))
-    return store.merged(o, new, "week").groupBy("week").agg(F.count("*").alias("n"), exact_sum("o_totalprice").alias("total"))
-
-
 _LATE_ORDERS = f"SELECT o_orderpriority AS k, o_totalprice AS v, {AVAILABLE_SQL} > TIMESTAMP '{AS_OF} 23:59:59.999999' AS late FROM orders"
 _LATE_LINES = f"SELECT l_linenumber AS k, l_returnflag AS v, l_shipdate + INTERVAL 60 DAY > TIMESTAMP '{AS_OF} 23:59:59.999999' AS late FROM lineitem WHERE l_shipdate + INTERVAL 1 DAY <= TIMESTAMP '{AS_OF} 23:59:59.999999'"
 

@@ -140,11 +140,6 @@ def pr_auc(spark, sf_dir):
     return metrics.average_precision(scored(spark, sf_dir), "p", "quality")
 
 
-@query()
-def block_bootstrap(spark, sf_dir):
-    return metrics.block_bootstrap(scored(spark, sf_dir), "lang", "quality", 200, 7)
-
-
 @query()
 def walk_forward_logit(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 4).cast("int"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a table of this run: below spark.checkpoint.dir, or, only in local runs where that is unset, a temporary one. It goes when the run ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone before the interpreter
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def snapshot(df: DataFrame) -> str:
     """The schema as JSON: the contract that a later read is held against."""
     return json.dumps({f.name: f.dataType.simpleString() for f in df.schema.fields}, sort_keys=True)
