@@ -94,26 +94,36 @@ class Forest:
         return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, units = [], []
-        for v, label in zip(batch.column("embedding").to_pylist(), batch.column("label"), strict=True):
-            key = unit = None
-            if v and label.is_valid and None not in v:
-                x = np.array(v, np.float64) + 0.0
-                if np.isfinite(x).all() and x.any():
-                    x = x / np.abs(x).max()
-                    unit = x / np.linalg.norm(x)
-                    key = hashlib.md5(np.array(v, np.float64).__add__(0.0).tobytes()).digest()
-            keys.append(key)
-            units.append(None if unit is None else unit.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "label", "key", "unit"])
-
-
-def _assign(forest: Forest, leaf: int):
+def _valid(kind: str):
+    """kind: numpy's name of the input's number type, in which vectors travel; they become unit vectors in double precision where they are used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, raws = [], []
+            for v, label in zip(batch.column("embedding").to_pylist(), batch.column("label"), strict=True):
+                key = raw = None
+                if v and label.is_valid and None not in v:
+                    x = np.array(v, np.float64) + 0.0
+                    if np.isfinite(x).all() and x.any():
+                        raw = x.astype(kind).tobytes()
+                        key = hashlib.md5(x.tobytes()).digest()
+                keys.append(key)
+                raws.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "key", "raw"])
+
+    return run
+
+
+def unit(raw: bytes, kind: str) -> np.ndarray:
+    x = np.frombuffer(raw, kind).astype(np.float64)
+    x = x / np.abs(x).max()
+    return x / np.linalg.norm(x)
+
+
+def _assign(forest: Forest, leaf: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [np.frombuffer(u.as_buffer(), "<f8") for u in batch.column("unit")]
+            units = [unit(u.as_buffer(), kind) for u in batch.column("raw")]
             sizes = np.array(batch.column("label_n").to_pylist(), np.int64)
             depth = np.ceil(np.log2(np.maximum(1, sizes / leaf))).clip(0, MAX_DEPTH).astype(np.int64)
             lists: list[np.ndarray | None] = [None] * len(units)
@@ -124,13 +134,13 @@ def _assign(forest: Forest, leaf: int):
                 ends, leaves = np.searchsorted(rows[order], np.arange(len(own) + 1)), leaves[order]
                 for i, a, b in zip(own, ends, ends[1:], strict=False):
                     lists[i] = leaves[a:b]
-            names = ["label", "rep", "n", "unit"]
+            names = ["label", "rep", "n", "raw"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lists, pa.list_(pa.int64()))], names=[*names, "leaves"])
 
     return run
 
 
-def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def compare(frame: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
     """One block, or two blocks against each other, of one leaf: (rep, cnt, root) for members with links.
 
     cnt: copies that the member's new links lead to; a link is new in the first leaf that its ends share. root: the smallest rep
@@ -138,9 +148,9 @@ def compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """
     leaf, i, j = (int(frame[c].iloc[0]) for c in ("leaf", "i", "j"))
     out: list[pd.DataFrame] = []
-    for _, own in frame.groupby(frame["unit"].str.len(), sort=True):
+    for _, own in frame.groupby(frame["raw"].str.len(), sort=True):
         own = own.sort_values("rep")
-        x = np.stack([np.frombuffer(u, "<f8") for u in own["unit"]])
+        x = np.stack([unit(u, kind) for u in own["raw"]])
         n, rep, block = own["n"].to_numpy(np.int64), own["rep"].to_numpy(np.int64), own["block"].to_numpy(np.int64)
         m = len(own)
         before = [np.array([v for v in row if v < leaf]) for row in own["leaves"]]
@@ -191,27 +201,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    base = written(base.mapInArrow(_valid, "vec_id long, label long, key binary, unit binary"))
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    base = written(base.mapInArrow(_valid(kind), "vec_id long, label long, key binary, raw binary"))
     # a row without vec_id needs a stand-in below every id, so that copies of it still meet
     own = F.coalesce("vec_id", F.lit(-(1 << 63)).cast("long") + F.pmod(F.xxhash64("label", "key"), F.lit(1 << 40)))
-    reps = written(base.where("key is not null").groupBy("label", "key").agg(F.min(F.coalesce("vec_id", own)).alias("rep"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("unit").alias("unit")))
+    reps = written(base.where("key is not null").groupBy("label", "key").agg(F.min(F.coalesce("vec_id", own)).alias("rep"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("raw").alias("raw")))
     per_label = written(reps.groupBy("label").agg(F.count("*").alias("label_n")))
     largest = per_label.agg(F.max("label_n")).first()[0] or 0
-    some = [np.frombuffer(bytes(r.unit), "<f8") for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("unit").collect()]
+    some = [unit(bytes(r.raw), kind) for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("raw").collect()]
     dims = max({len(s) for s in some}, key=lambda d: (sum(len(s) == d for s in some), d), default=0)
     fitted = np.stack([s for s in some if len(s) == dims]) if dims else np.zeros((0, 0))
     forest = Forest(fitted, min(MAX_DEPTH, math.ceil(math.log2(max(1, largest / leaf)))), trees, spill, threshold=threshold)
     placed = written(
-        reps.join(per_label.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).select("label", "rep", "n", "unit", "label_n").mapInArrow(_assign(forest, leaf), "label long, rep long, n long, unit binary, leaves array<long>")
+        reps.join(per_label.withColumnRenamed("label", "l"), F.col("label") == F.col("l")).select("label", "rep", "n", "raw", "label_n").mapInArrow(_assign(forest, leaf, kind), "label long, rep long, n long, raw binary, leaves array<long>")
     )
     crowded = placed.select("label", F.explode("leaves").alias("leaf")).groupBy("label", "leaf").agg(F.count("*").alias("size"))
     crowded = written(crowded.where(F.col("size") > 1).select("label", "leaf", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    member = placed.select("label", "rep", "n", "unit", "leaves", F.explode("leaves").alias("leaf")).join(crowded, ["label", "leaf"])
+    member = placed.select("label", "rep", "n", "raw", "leaves", F.explode("leaves").alias("leaf")).join(crowded, ["label", "leaf"])
     own_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = member.withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     schema = "rep long, cnt long, root long"
-    found = written(dealt.groupBy("label", "leaf", "i", "j").applyInPandas(lambda f: compare(f, threshold), schema))
+    found = written(dealt.groupBy("label", "leaf", "i", "j").applyInPandas(lambda f: compare(f, threshold, kind), schema))
     counts = found.groupBy("rep").agg(F.sum("cnt").alias("cnt"))
     roots = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     named = reps.select("label", "key", "rep", "first_id", "n").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -252,4 +263,5 @@ def brute(rows: list[tuple], threshold: float = THRESHOLD) -> dict[int, tuple[in
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all embeddings at THRESHOLD."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
