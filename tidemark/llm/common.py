@@ -45,17 +45,22 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _drop_at_end(spark: SparkSession, path: str) -> None:
+def _drop_if_it_runs(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may have gone before the interpreter
         drop(spark, path)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """path goes when the application ends."""
+    atexit.register(_drop_if_it_runs, spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once and read from a table in the shared folder: lineage ends there, so a lost executor costs no recomputation of what went before. The table goes when the application ends."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    atexit.register(_drop_at_end, spark, path)
+    drop_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, table, tokenizer_path
+from tidemark.llm.common import drop_at_end, shared_dir, table, tokenizer_path
 from tidemark.llm.encode import chunks, encoder
 from tidemark.llm.encode import rows as texts
 
@@ -249,5 +249,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    """All documents written as shards with the byte-level vocabulary, and read back; the shards go when the application ends."""
+    folder = shared_dir(spark)
+    drop_at_end(spark, folder)
+    write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder=folder)
     return read_shards(spark, folder)
