@@ -123,9 +123,10 @@ class AsOfSession:
     def __init__(self, spark: SparkSession, tables: dict[str, Callable[[SparkSession], DataFrame]], rules: dict[str, Rule], as_of) -> None:
         if missing := sorted(tables.keys() - rules.keys()):
             raise ValueError(f"no availability rule: {missing}")
-        self.session, self.as_of, self.views = spark.newSession(), moment(as_of), {}
+        self.session, self.views = spark.newSession(), {}
+        self.as_of = as_of if isinstance(as_of, dt.datetime) and as_of.tzinfo is None else moment(as_of)
         for name, load in tables.items():
-            shown = rules[name].view(load(self.session), as_of)
+            shown = rules[name].view(load(self.session), self.as_of)
             if shown is not None:
                 shown.createOrReplaceTempView(name)
                 self.views[name] = shown
