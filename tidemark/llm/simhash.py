@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import forget, table, written
 from tidemark.llm.components import components
 
 BITS = 64
@@ -180,25 +180,27 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SI
     """(doc_id, text_hash, component_id) per row of docs (doc_id, text; other columns are not read): groups by links of texts whose distinct
     shingles have a Jaccard coefficient of `similarity` or more.
 
-    Whole texts of that similarity differ in too many bits for covering masks (about 10 of 64 at 0.8), but then most of their parts don't
-    differ at all. So a text is filed under the fingerprints of the whole and of its parts, covering tables join the fingerprints within the
-    radius, and texts that meet are compared by their shingles, exactly. In a bucket of up to `leads` + 1 texts these are all pairs; in
-    a larger one, all with those that meet most others (the original of many copies is one), so comparisons grow with members. A pair is
-    missed only if no link joins it, and every bucket that it shares is larger and led by others.
+    Covering tables find the texts whose fingerprints differ in `radius` bits or fewer. Texts of that similarity often differ in more
+    (about 10 of 64 at 0.8), too many for covering masks, but then many of their parts don't differ at all. So a text is filed under its
+    class of the covering tables and under the fingerprints of its parts, and texts that meet are compared by their shingles, exactly.
+    In a bucket of up to `leads` + 1 texts these are all pairs; in a larger one, all with those that meet most others (the original of
+    many copies is one), so comparisons grow with members. A pair is missed only if no link joins it, and every bucket that it shares
+    is larger and led by others.
     Alike texts are one from the start, so copies cost nothing. Nulls, texts without words and repeated rows are as in groups(): texts
     without words are alike; component_id is the group's smallest doc_id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     all_ = written(rows.mapInArrow(_sketches(width), "doc_id long, text_hash long, node long, fp long, n long, shingles array<int>, prints array<long>"))
     nodes = written(all_.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n")))
-    filed = written(all_.select("node", F.explode("prints").alias("fp")).distinct())
-    classes = components(links(filed.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), F.col("root"))
-    filed = filed.join(classes, "fp", "left").select("node", F.coalesce("root", "fp").alias("bucket")).distinct()
+    classes = components(links(nodes.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), F.col("root").alias("bucket"))
+    filed = written(all_.select("node", F.explode("prints").alias("bucket")).unionAll(nodes.join(classes, "fp").select("node", "bucket")).distinct())
     shared = filed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    member = written(filed.join(shared, "bucket"))
-    meets = member.groupBy("node").agg(F.sum("size").alias("meets"))
-    member = written(member.join(meets, "node").select("bucket", "node", "meets"))
-    texts = written(all_.join(meets.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sized = written(filed.join(shared, "bucket"))
+    forget(filed)
+    meets = sized.groupBy("node").agg(F.sum("size").alias("meets"))
+    member = written(sized.join(meets, "node").select("bucket", "node", "meets"))
+    forget(sized)
+    texts = written(all_.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     told = nodes.select("node", "fp", "n")
     order = Window.partitionBy("bucket").orderBy(F.col("meets").desc(), "node")
     led = written(member.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads).select("bucket", F.col("node").alias("lead"), "place"))
@@ -224,6 +226,7 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SI
     if not met.isEmpty():
         joined = written(joined.unionAll(alike(met)))
         roots = components(joined)
+    forget(texts)
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(best, "root").select("node", "component_id")
