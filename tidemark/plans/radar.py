@@ -63,10 +63,10 @@ def slot_labels(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY week DESC) AS k FROM ({_SCORES}))
-SELECT player, round(max(score) FILTER (WHERE k = 1), 4) AS last, round(avg(score) FILTER (WHERE k <= 3), 4) AS recent, round(avg(score), 4) AS season, round(avg(score) FILTER (WHERE k <= 3) - avg(score), 3) AS delta FROM g GROUP BY player""")
+SELECT player, round(max(score) FILTER (WHERE k = 1), 6) AS last, round(avg(score) FILTER (WHERE k <= 3), 6) AS recent, round(avg(score), 6) AS season, round(avg(score) FILTER (WHERE k <= 3) - avg(score), 6) AS delta FROM g GROUP BY player""")
 def opportunity_windows(spark, sf_dir):
     g = pool.form(pool.recency(scores(spark, sf_dir), "player", ["week"]), ["player"], "score", 3)
-    return g.select("player", F.round("last", 4).alias("last"), F.round("recent", 4).alias("recent"), F.round("season", 4).alias("season"), F.round("delta", 3).alias("delta"))
+    return g.select("player", F.round("last", 6).alias("last"), F.round("recent", 6).alias("recent"), F.round("season", 6).alias("season"), F.round("delta", 6).alias("delta"))
 
 
 @query("""WITH v AS (SELECT c_custkey, c_nationkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL), a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 100)
@@ -86,13 +86,13 @@ def opponent_strength(spark, sf_dir):
     return pool.strength(g, "opponent", "grp", "points", opponents).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"""{_SLOTS} SELECT player, week, round(avg(CASE WHEN nxt % 5 > 0 THEN score / 150000 ELSE 1 END), 6) AS mean_ratio, count(*) AS n_games, count(DISTINCT nxt) < 4 AS bye FROM x WHERE i <= 4 GROUP BY player, week""")
+@query(f"""{_SLOTS} SELECT player, week, round(avg(CASE WHEN nxt % 5 > 0 THEN score / 150000 ELSE 1 END), 9) AS mean_ratio, count(*) AS n_games, count(DISTINCT nxt) < 4 AS bye FROM x WHERE i <= 4 GROUP BY player, week""")
 def schedule_features(spark, sf_dir):
     s = scores(spark, sf_dir)
     ahead = pool.upcoming(s.select("player", "week"), s, "player", "week", 4).select("player", F.col("week").alias("from_week"), F.explode("slots").alias("g"))
     slots = ahead.select("player", "from_week", F.col("g.week").alias("week"), F.when(F.col("g.week") % 5 > 0, F.col("g.score") / 150_000).alias("ratio"))
     out = pool.schedule(slots, ["player", "from_week"], "ratio", 4)
-    return out.select("player", F.col("from_week").alias("week"), F.round("mean_ratio", 6).alias("mean_ratio"), "n_games", "bye")
+    return out.select("player", F.col("from_week").alias("week"), F.round("mean_ratio", 9).alias("mean_ratio"), "n_games", "bye")
 
 
 @query(f"""WITH h AS (SELECT player, week // 12 AS season, week, score > 100000 AS hit FROM ({_SCORES})), r AS (SELECT *, sum(CAST(hit AS INTEGER)) OVER w AS s, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY player, season ORDER BY week ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
@@ -102,8 +102,8 @@ def breakout_events(spark, sf_dir):
     return pool.breakouts(h, "player", "season", "week", "hit", 3)
 
 
-@query("""WITH p AS (SELECT event_type AS grp, user_id, CAST(ts AS DATE) AS day, CAST(value AS INTEGER) AS place FROM events), a AS (SELECT *, CAST(max(day) OVER (PARTITION BY grp) - day AS INTEGER) AS age FROM p)
+@query("""WITH p AS (SELECT event_type AS grp, user_id, CAST(ts AS DATE) AS day, CAST(floor(value) AS INTEGER) AS place FROM events), a AS (SELECT *, CAST(max(day) OVER (PARTITION BY grp) - day AS INTEGER) AS age FROM p)
 SELECT grp, user_id, place, age FROM (SELECT *, row_number() OVER (PARTITION BY grp, user_id ORDER BY day DESC, place) AS rn FROM a WHERE age <= 6) WHERE rn = 1""")
 def expert_ranks(spark, sf_dir):
-    p = table(spark, sf_dir, "events").select(F.col("event_type").alias("grp"), "user_id", F.to_date("ts").alias("day"), F.round("value").cast("int").alias("place"))
+    p = table(spark, sf_dir, "events").select(F.col("event_type").alias("grp"), "user_id", F.to_date("ts").alias("day"), F.floor("value").cast("int").alias("place"))
     return pool.ranks_with_age(p, "user_id", "grp", "day", "place", 6)
