@@ -42,5 +42,5 @@ def test_query(spark, con, name):
     kinds = {d[0]: str(d[1]) for d in want.description}
     expected = plain(want.fetchall())
     assert rows == expected, (rows[:3], expected[:3])
-    short = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    short = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
     assert {c: short[k] for c, k in got.dtypes} == {c: kinds[c] for c in cols}

@@ -94,15 +94,10 @@ def split_by_layout(spark: SparkSession, paths: Iterable[str], column: str) -> t
 
 def n_rows(spark: SparkSession, path: str) -> int:
     """Rows by the footers alone: the count is pushed down to the Parquet reader and no column is read."""
-    before = spark.conf.get("spark.sql.parquet.aggregatePushdown", "false")
-    used = spark.conf.get("spark.sql.sources.useV1SourceList", "")
-    try:
-        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-        spark.conf.set("spark.sql.sources.useV1SourceList", "")
-        return spark.read.parquet(path).groupBy().count().first()[0]
-    finally:
-        spark.conf.set("spark.sql.parquet.aggregatePushdown", before)
-        spark.conf.set("spark.sql.sources.useV1SourceList", used)
+    own = spark.newSession()  # settings of its own
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    return own.read.parquet(path).groupBy().count().first()[0]
 
 
 def append_snapshot(df: DataFrame, path: str, key: str = "as_of") -> int:
