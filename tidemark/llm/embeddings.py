@@ -114,22 +114,23 @@ def _valid(kind: str):
     return run
 
 
-def unit(raw: bytes, kind: str) -> np.ndarray:
-    x = np.frombuffer(raw, kind).astype(np.float64)
-    x = x / np.abs(x).max()
-    return x / np.linalg.norm(x)
+def units(raws: list, kind: str) -> np.ndarray:
+    """Unit vectors, a row each, of vectors of one length."""
+    x = np.frombuffer(b"".join(raws), kind).astype(np.float64).reshape(len(raws), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _assign(forest: Forest, leaf: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [unit(u.as_buffer(), kind) for u in batch.column("raw")]
+            raws = batch.column("raw").to_pylist()
             sizes = np.array(batch.column("label_n").to_pylist(), np.int64)
             depth = np.ceil(np.log2(np.maximum(1, sizes / leaf))).clip(0, MAX_DEPTH).astype(np.int64)
-            lists: list[np.ndarray | None] = [None] * len(units)
-            for dims in {len(u) for u in units}:
-                own = np.array([i for i, u in enumerate(units) if len(u) == dims])
-                rows, leaves = forest.leaves(np.stack([units[i] for i in own]), depth[own])
+            lists: list[np.ndarray | None] = [None] * len(raws)
+            for size in {len(r) for r in raws}:
+                own = np.array([i for i, r in enumerate(raws) if len(r) == size])
+                rows, leaves = forest.leaves(units([raws[i] for i in own], kind), depth[own])
                 order = np.lexsort((leaves, rows))
                 ends, leaves = np.searchsorted(rows[order], np.arange(len(own) + 1)), leaves[order]
                 for i, a, b in zip(own, ends, ends[1:], strict=False):
@@ -150,7 +151,7 @@ def compare(frame: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
     out: list[pd.DataFrame] = []
     for _, own in frame.groupby(frame["raw"].str.len(), sort=True):
         own = own.sort_values("rep")
-        x = np.stack([unit(u, kind) for u in own["raw"]])
+        x = units(own["raw"].tolist(), kind)
         n, rep, block = own["n"].to_numpy(np.int64), own["rep"].to_numpy(np.int64), own["block"].to_numpy(np.int64)
         m = len(own)
         before = [np.array([v for v in row if v < leaf]) for row in own["leaves"]]
@@ -208,7 +209,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, leaf: int
     reps = written(base.where("key is not null").groupBy("label", "key").agg(F.min(F.coalesce("vec_id", own)).alias("rep"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("raw").alias("raw")))
     per_label = written(reps.groupBy("label").agg(F.count("*").alias("label_n")))
     largest = per_label.agg(F.max("label_n")).first()[0] or 0
-    some = [unit(bytes(r.raw), kind) for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("raw").collect()]
+    some = [units([bytes(r.raw)], kind)[0] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("raw").collect()]
     dims = max({len(s) for s in some}, key=lambda d: (sum(len(s) == d for s in some), d), default=0)
     fitted = np.stack([s for s in some if len(s) == dims]) if dims else np.zeros((0, 0))
     forest = Forest(fitted, min(MAX_DEPTH, math.ceil(math.log2(max(1, largest / leaf)))), trees, spill, threshold=threshold)
