@@ -5,6 +5,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
@@ -126,6 +127,16 @@ def test_places_of_skewed_and_null_groups(spark):
     assert q == {"a": (1.0, 3.0), "b": (1.0, 1.0), "c": (-1e9, 0.0)}
 
 
+def test_places_of_many_values_read_one_set_of_ranges(spark):
+    x = spark.range(0, 60_000, 1, 16).select("id", F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    places = windows.placed(x, "v", ["g"])
+    assert "percentile_approx" not in places._jdf.queryExecution().toString()  # the ranges aren't computed anew by each of their readers
+    plain = x.groupBy("g", "v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("g").orderBy("v")
+    plain = plain.select("g", "v", "n", (F.sum("n").over(w) - F.col("n")).alias("below"), F.sum("n").over(Window.partitionBy("g")).alias("of"))
+    assert plain.exceptAll(places).isEmpty() and places.exceptAll(plain).isEmpty()
+
+
 def test_availability_is_complete_and_lookups_unique(spark):
     x = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
     times = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 1, 2))], "j int, t timestamp_ntz")

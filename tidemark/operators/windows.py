@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import scratch
+
 
 def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first under a total order."""
@@ -32,17 +34,27 @@ def islands(df: DataFrame, by: list[str], order: list[str], value: str) -> DataF
     return df.withColumn("_s", starts).withColumn("island", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_s")
 
 
+def _smaller(sorted_: Column, v: Column, most: int) -> Column:
+    """How many of a sorted array's `most` elements or fewer are smaller than v, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(sorted_, at + step - 1) < v, at + step).otherwise(at))
+
+
 def placed(df: DataFrame, value: str, by: list[str], cuts: int = 255) -> DataFrame:
     """Per group and distinct value (nulls left out): by, value, n rows of it, `below` rows of smaller values, `of` rows in the group.
 
     Exact for groups of any size, in three steps that all spread: counts per value, running sums within ranges of values, running sums
-    over ranges. The ranges are approximate quantiles; they only deal the work out.
+    over ranges. The ranges are approximate quantiles; they only deal the work out. Those differ from one computation to the next with the
+    order in which tasks end, so the values are written once with their ranges, and both running sums read the same ones.
     """
     group = F.xxhash64(F.lit(0), *by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("_g", group)
     quantiles = F.percentile_approx(value, [k / (cuts + 1) for k in range(1, cuts + 1)], 1000)
     groups = counts.groupBy("_g").agg(quantiles.alias("_cuts"), F.sum("n").alias("of"))
-    dealt = counts.join(groups, "_g").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    dealt = counts.join(groups, "_g").withColumn("_range", _smaller(F.col("_cuts"), F.col(value), cuts)).drop("_cuts")
+    path = scratch(df.sparkSession)
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
     ranges = dealt.groupBy("_g", "_range").agg(F.sum("n").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
