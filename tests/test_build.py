@@ -137,6 +137,14 @@ def test_places_of_many_values_read_one_set_of_ranges(spark):
     assert plain.exceptAll(places).isEmpty() and places.exceptAll(plain).isEmpty()
 
 
+def test_kickoffs_as_clocks_change(spark):
+    sun = dt.date(1999, 10, 31)  # 02:00 EDT became 01:00 EST
+    days = [(sun, "00:30", 4), (sun, "01:00", 6), (sun, "01:30", 6), (sun, "02:00", 7), (dt.date(1999, 10, 30), "23:30", 27), (dt.date(1999, 4, 4), "01:30", 6), (dt.date(1999, 4, 4), "02:30", 7), (dt.date(1999, 4, 3), "12:00", 17)]
+    x = spark.createDataFrame([(d, c) for d, c, _ in days], "day date, clock string")
+    got = [r.k for r in x.select(calendar.kickoff_utc(F.col("day"), F.col("clock")).alias("k")).collect()]
+    assert got == [dt.datetime.combine(d, dt.time(0, int(c[3:]))) + dt.timedelta(hours=h) for d, c, h in days]
+
+
 def test_availability_is_complete_and_lookups_unique(spark):
     x = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
     times = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 1, 2))], "j int, t timestamp_ntz")

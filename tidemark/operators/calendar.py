@@ -30,12 +30,19 @@ def next_nightly(moment: Column, hour: int = NIGHTLY_HOUR) -> Column:
 
 
 def kickoff_utc(day: Column, clock: Column, zone: str = ZONE, defaults: dict[int, str] = DEFAULT_KICKOFF) -> Column:
-    """A game day and a wall clock 'HH:MM' as UTC, daylight saving minded; without a clock the weekday's usual one, else 13:00."""
+    """A game day and a wall clock 'HH:MM' as UTC, daylight saving minded; without a clock the weekday's usual one, else 13:00.
+
+    Of a clock time that comes twice as clocks go back the later is meant, so a kickoff is never too early; one that clocks skip as they go forward is read as before the change.
+    """
     usual = F.lit("13:00")
     for weekday, at in sorted(defaults.items()):
         usual = F.when(F.dayofweek(day) == weekday, at).otherwise(usual)
     text = F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), F.coalesce(clock, usual))
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm")))
+    local, day_after = F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm")), F.expr("interval 1 day")
+    wall = lambda utc: F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    first = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    second = local - (wall(first + day_after) - (first + day_after))  # at the offset of the next day
+    return F.when(wall(second) == local, second).otherwise(first)
 
 
 def game_end(kickoff: Column, end: Column, guessed: Column, hours: float = 4.0, late_hours: float = 8.0) -> Column:
