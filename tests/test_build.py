@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators import availability, build, calendar, careers, league, plays, windows
+from tidemark.operators import availability, build, calendar, careers, league, plays, pool, windows
 from tidemark.sources import tables
 
 
@@ -137,6 +137,16 @@ def test_places_of_many_values_read_one_set_of_ranges(spark):
     assert plain.exceptAll(places).isEmpty() and places.exceptAll(plain).isEmpty()
 
 
+def test_finishes_are_ranks(spark):
+    x = spark.range(0, 20_000, 1, 8).select("id", F.pmod(F.xxhash64("id"), F.lit(9_000)).cast("double").alias("score"), (F.col("id") % 3).alias("week"), (F.col("id") % 2).alias("pos"))
+    found = pool.finishes(x, ["week"], "pos", "score", {"top3": 3})
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+    w = Window.partitionBy("week", "pos")
+    plain = x.withColumn("finish", F.rank().over(w.orderBy(F.col("score").desc())).cast("long")).withColumn("of", F.count("*").over(w)).withColumn("top3", F.col("finish") <= 3)
+    found = found.select(*plain.columns)
+    assert plain.exceptAll(found).isEmpty() and found.exceptAll(plain).isEmpty()
+
+
 def test_kickoffs_as_clocks_change(spark):
     sun = dt.date(1999, 10, 31)  # 02:00 EDT became 01:00 EST
     days = [(sun, "00:30", 4), (sun, "01:00", 6), (sun, "01:30", 6), (sun, "02:00", 7), (dt.date(1999, 10, 30), "23:30", 27), (dt.date(1999, 4, 4), "01:30", 6), (dt.date(1999, 4, 4), "02:30", 7), (dt.date(1999, 4, 3), "12:00", 17)]
