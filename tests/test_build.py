@@ -127,6 +127,11 @@ def test_places_of_skewed_and_null_groups(spark):
     assert q == {"a": (1.0, 3.0), "b": (1.0, 1.0), "c": (-1e9, 0.0)}
 
 
+def test_quantiles_between_values_weigh_both(spark):
+    x = spark.createDataFrame([(v,) for v in (2270.79, 88080.53)], "v double").withColumn("g", F.lit(1))
+    assert windows.quantiles(x, "v", ["g"], {}, {"mid": 0.5}).first().mid == 45175.659999999996
+
+
 def test_places_of_many_values_read_one_set_of_ranges(spark):
     x = spark.range(0, 60_000, 1, 16).select("id", F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
     places = windows.placed(x, "v", ["g"])

@@ -88,7 +88,7 @@ def quantiles(df: DataFrame, value: str, by: list[str], disc: dict[str, float],
         at = F.lit(q) * (F.col("of") - 1)
         low, high = F.min(F.when(upto > F.floor(at), v)), F.min(F.when(upto > F.ceil(at), v))
         part = F.max(at - F.floor(at))
-        out.append((low + (high - low) * part).alias(name))
+        out.append((low * (1 - part) + high * part).alias(name))
     return p.groupBy(*by).agg(*out)
 
 
