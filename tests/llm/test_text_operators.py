@@ -247,6 +247,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_groups(documents(spark, [])).count() == 0 and simhash.deduplicate(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_whose_buckets_others_lead(spark):
+    import random
+
+    r = random.Random(5)
+    passages = [prose(700 + k, 40) for k in range(12)]
+    docs = []
+    for k in range(20):  # two orders of six passages, each of which many documents have
+        own = r.sample(passages, 6)
+        docs += [(9100 + 2 * k + j, " ".join(r.sample(own, 6)), "s") for j in range(2)]
+    want = dict(zip([i for i, _, _ in docs], united(docs, simhash.brute_near([t for _, t, _ in docs])), strict=True))
+    assert sum(i != c for i, c in want.items()) >= 15
+    assert dict(simhash.near_groups(documents(spark, docs), leads=1).select("doc_id", "component_id").collect()) == want
+
+
 def test_parts_end_where_the_text_says():
     base = prose(5, 3000).split()
     words = [w.encode() for w in base]

@@ -23,7 +23,7 @@ NEAR_WIDTH, SIMILARITY = 5, 0.8
 PART, LEAST_PART = 16, 8
 #: Pairs whose whole texts' fingerprints differ in more bits aren't compared: at a Jaccard coefficient of 0.8 a bit differs with probability 0.152, so more than these of 64 do with one of 2 in a million.
 FAR_BITS = 24
-#: A bucket's texts are compared with so many of them, those that meet most others: with the first, then, where no link has joined them yet, with the rest.
+#: A bucket's texts are compared with so many of them first, those that meet most others: with the first, then, where no link has joined them yet, with the rest. meeting() settles what is apart then.
 LEADS = 24
 
 
@@ -176,6 +176,27 @@ def _sketches(width: int):
     return run
 
 
+def meeting(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, lead) of texts (node, root, shingles) with different roots, all with a Jaccard coefficient of `similarity` among them.
+
+    Two such texts share `similarity` of the shingles of either. So in any one order of shingles, rarest first, they share one of the
+    first n - ceil(similarity * n) + 1 of each; a shingle of one text alone takes a place there and meets nothing. A passage in many
+    texts comes last, so texts that have little else in common don't meet. Pairs within the root that most texts of a shingle have aren't made.
+    """
+    occurs = texts.select("node", F.explode("shingles").alias("shingle"))
+    often = occurs.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rare = occurs.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    n = F.size("shingles")
+    first = (F.size("rare") - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int")
+    keyed = texts.join(rare, "node").select("node", "root", n.alias("n"), "rare", first.alias("first")).where("first > 0")
+    keys = written(keyed.select("node", "root", "n", F.explode(F.slice("rare", 1, F.col("first"))).alias("key")).select("node", "root", "n", "key.shingle"))
+    most = keys.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
+    few = keys.join(most, "shingle").where("root != most")
+    others = keys.select("shingle", F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"))
+    pairs = few.join(others, "shingle").where((F.col("root") != F.col("lead_root")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n")))
+    return pairs.select(F.least("node", "lead").alias("node"), F.greatest("node", "lead").alias("lead")).distinct()
+
+
 def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, leads: int = LEADS) -> DataFrame:
     """(doc_id, text_hash, component_id) per row of docs (doc_id, text; other columns are not read): groups by links of texts whose distinct
     shingles have a Jaccard coefficient of `similarity` or more.
@@ -183,9 +204,8 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SI
     Covering tables find the texts whose fingerprints differ in `radius` bits or fewer. Texts of that similarity often differ in more
     (about 10 of 64 at 0.8), too many for covering masks, but then many of their parts don't differ at all. So a text is filed under its
     class of the covering tables and under the fingerprints of its parts, and texts that meet are compared by their shingles, exactly.
-    In a bucket of up to `leads` + 1 texts these are all pairs; in a larger one, all with those that meet most others (the original of
-    many copies is one), so comparisons grow with members. A pair is missed only if no link joins it, and every bucket that it shares
-    is larger and led by others.
+    In a bucket of up to `leads` + 1 texts these are all pairs; in a larger one, all with those that meet most others first (the original
+    of many copies is one). What then is still apart in larger buckets is settled by meeting(), which loses no pair of that similarity.
     Alike texts are one from the start, so copies cost nothing. Nulls, texts without words and repeated rows are as in groups(): texts
     without words are alike; component_id is the group's smallest doc_id.
     """
@@ -200,23 +220,35 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SI
     meets = sized.groupBy("node").agg(F.sum("size").alias("meets"))
     member = written(sized.join(meets, "node").select("bucket", "node", "meets"))
     forget(sized)
-    texts = written(all_.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     told = nodes.select("node", "fp", "n")
     order = Window.partitionBy("bucket").orderBy(F.col("meets").desc(), "node")
     led = written(member.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leads).select("bucket", F.col("node").alias("lead"), "place"))
     lead_told = told.select(F.col("node").alias("lead"), F.col("fp").alias("lead_fp"), F.col("n").alias("lead_n"))
 
-    def alike(met: DataFrame) -> DataFrame:
-        """Links among met (node, lead)."""
-        both = met.distinct().join(told, "node").join(lead_told, "lead")
-        sizes = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n")
-        both = both.where(sizes & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS)).select("node", "lead")
-        both = both.join(texts.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead").join(texts, "node")
+    def texts(ids: DataFrame) -> DataFrame:
+        """(node, shingles) of ids (node)."""
+        return all_.join(ids, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (node, lead), by their shingles; only texts of pairs travel."""
+        pairs = written(pairs)
+        ids = written(pairs.select(F.explode(F.array("node", "lead")).alias("node")).distinct())
+        own = written(texts(ids))
+        both = pairs.join(own.select(F.col("node").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead").join(own, "node")
         common = F.size(F.array_intersect("shingles", "lead_shingles"))
         near = common >= similarity * (F.size("shingles") + F.size("lead_shingles") - common)
-        return both.where(near).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        found = written(both.where(near).select(F.col("node").alias("a"), F.col("lead").alias("b")))
+        for done in (pairs, ids, own):
+            forget(done)
+        return found
+
+    def close(met: DataFrame) -> DataFrame:
+        """Pairs of met (node, lead) that can be alike by their sizes and whole fingerprints."""
+        both = met.distinct().join(told, "node").join(lead_told, "lead")
+        sizes = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n")
+        return both.where(sizes & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS)).select("node", "lead")
 
-    joined = written(alike(member.join(led.where("place = 1"), "bucket").where("node != lead").select("node", "lead")))
+    joined = alike(close(member.join(led.where("place = 1"), "bucket").where("node != lead").select("node", "lead")))
     roots = components(joined)
     apart = member.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     split = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
@@ -224,9 +256,16 @@ def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SI
     others = led.where("place > 1").join(lead_roots, "lead", "left").select("bucket", "lead", F.coalesce("lead_root", "lead").alias("lead_root"))
     met = written(apart.join(split, "bucket").join(others, "bucket").where("root != lead_root").select("node", "lead").distinct())
     if not met.isEmpty():
-        joined = written(joined.unionAll(alike(met)))
+        joined = written(joined.unionAll(alike(close(met))))
+        roots = components(joined)
+    apart = member.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    large = apart.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rest = written(apart.join(large.where((F.col("size") > leads + 1) & (F.col("lo") < F.col("hi"))), "bucket").select("node", "root").distinct())
+    if not rest.isEmpty():
+        own = written(texts(rest.select("node")))
+        joined = written(joined.unionAll(alike(meeting(own.join(rest, "node"), similarity))))
+        forget(own)
         roots = components(joined)
-    forget(texts)
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(best, "root").select("node", "component_id")
