@@ -261,6 +261,39 @@ def test_near_duplicates_whose_buckets_others_lead(spark):
     assert dict(simhash.near_groups(documents(spark, docs), leads=1).select("doc_id", "component_id").collect()) == want
 
 
+def families(count):
+    """(node, root, shingles): edits of two texts that share a passage; most are like no other, every tenth has one near it."""
+    import random
+
+    r, fresh = random.Random(11), iter(range(10_000, 1_000_000))
+    shared = list(range(50))
+    out = []
+    for base in (shared + list(range(100, 250)), shared + list(range(300, 400))):
+        out += [(len(out) + k, 0 if base[-1] == 249 else 1, base) for k in range(5)]
+        for k in range(count):
+            gone = set(r.sample(base, round(len(base) * r.uniform(0.04, 0.2))))
+            own = [x for x in base if x not in gone] + [next(fresh) for _ in gone]
+            out.append((len(out), len(out), own))
+            if k % 10 == 0:
+                out.append((len(out), len(out), own[3:] + [next(fresh)]))
+    return out
+
+
+def test_edits_of_one_text_meet_without_the_square_of_their_number(spark):
+    texts = families(150)
+    sets = [set(s) for _, _, s in texts]
+    alike = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)]
+    same = [(i, i - 1) for i in range(1, len(texts)) if texts[i][1] == texts[i - 1][1]]
+    want = united(texts, alike + same)
+    assert 100 < len(set(want)) < len(texts) - 60
+    df = spark.createDataFrame(texts, "node long, root long, shingles array<int>")
+    for more in ({}, {"rounds": 1}, {"rounds": 0}, {"crowd": 2}):
+        met = [tuple(p) for p in simhash.meeting(df, 0.8, **more).collect()]
+        found = [p for p in met if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])]
+        assert united(texts, found + same) == want, more
+        assert more or len(met) < 5 * len(texts), len(met)
+
+
 def test_parts_end_where_the_text_says():
     base = prose(5, 3000).split()
     words = [w.encode() for w in base]

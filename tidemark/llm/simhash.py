@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +26,8 @@ PART, LEAST_PART = 16, 8
 FAR_BITS = 24
 #: A bucket's texts are compared with so many of them first, those that meet most others: with the first, then, where no link has joined them yet, with the rest. meeting() settles what is apart then.
 LEADS = 24
+#: meeting() takes a text as its difference from a lead where that has at most HOME of the text's size; it looks for leads so many times.
+HOME, ROUNDS = 0.5, 4
 
 
 def _signed(x: int) -> int:
@@ -176,25 +179,95 @@ def _sketches(width: int):
     return run
 
 
-def meeting(texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (node, lead) of texts (node, root, shingles) with different roots, all with a Jaccard coefficient of `similarity` among them.
+def _keys(sets: DataFrame) -> DataFrame:
+    """Keys (frame, shingle, node, root, n, size, home, far, place, score) of sets (frame, node, root, n, size, least, home, far, elements).
 
-    Two such texts share `similarity` of the shingles of either. So in any one order of shingles, rarest first, they share one of the
-    first n - ceil(similarity * n) + 1 of each; a shingle of one text alone takes a place there and meets nothing. A passage in many
-    texts comes last, so texts that have little else in common don't meet. Pairs within the root that most texts of a shingle have aren't made.
+    In a frame's order of elements, rarest first, two sets with `least` common elements or more share one of the first size - least + 1
+    of each; place is the key's place in that order. An element of one set alone takes a place there and is no key. score: in how many
+    sets an element of this one is, on average.
     """
-    occurs = texts.select("node", F.explode("shingles").alias("shingle"))
-    often = occurs.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    rare = occurs.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
-    n = F.size("shingles")
-    first = (F.size("rare") - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int")
-    keyed = texts.join(rare, "node").select("node", "root", n.alias("n"), "rare", first.alias("first")).where("first > 0")
-    keys = written(keyed.select("node", "root", "n", F.explode(F.slice("rare", 1, F.col("first"))).alias("key")).select("node", "root", "n", "key.shingle"))
-    most = keys.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
-    few = keys.join(most, "shingle").where("root != most")
-    others = keys.select("shingle", F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"))
-    pairs = few.join(others, "shingle").where((F.col("root") != F.col("lead_root")) & (F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n")))
-    return pairs.select(F.least("node", "lead").alias("node"), F.greatest("node", "lead").alias("lead")).distinct()
+    occurs = sets.select("frame", "node", F.explode("elements").alias("shingle"))
+    often = occurs.groupBy("frame", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rare = occurs.join(often, ["frame", "shingle"]).groupBy("frame", "node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    alone = F.col("size") - F.size("rare")
+    score = (F.aggregate("rare", F.lit(0).cast("long"), lambda total, x: total + x["df"]) + alone) / F.col("size")
+    told = sets.drop("elements").join(rare, ["frame", "node"]).withColumns({"first": (F.size("rare") - F.col("least") + 1).cast("int"), "alone": alone, "score": score})
+    each = told.where("first > 0").select("frame", "node", "root", "n", "size", "home", "far", "alone", "score", F.posexplode(F.slice("rare", 1, F.col("first"))).alias("at", "key"))
+    return each.select("frame", "key.shingle", "node", "root", "n", "size", "home", "far", (F.col("alone") + F.col("at") + 1).alias("place"), "score")
+
+
+def _met(keys: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, lead) of different roots that a key brings together and that can be alike by the places it has in both.
+
+    Pairs without a far text are united by their lead, those without a home text are settled elsewhere. Pairs within the root that most
+    texts of a key have aren't made.
+    """
+    on = ["frame", "shingle"]
+    most = keys.groupBy(*on, "root").agg(F.count("*").alias("c")).groupBy(*on).agg(F.max(F.struct("c", "root"))["root"].alias("most"))
+    few = keys.join(most, on).where("root != most")
+    others = keys.select(*on, *(F.col(c).alias(f"lead_{c}") for c in ("node", "root", "n", "size", "home", "far", "place")))
+    both = _least_common(F.col("size") + F.col("lead_size"), F.col("n") + F.col("lead_n"), similarity)
+    placed = (F.col("place") + both <= F.col("size") + 1) & (F.col("lead_place") + both <= F.col("lead_size") + 1)
+    sized = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n")
+    open_ = (F.col("root") != F.col("lead_root")) & (F.col("far") | F.col("lead_far")) & (F.col("home") | F.col("lead_home"))
+    pairs = few.join(others, on).where(open_ & sized & placed)
+    return pairs.select(F.least("node", "lead_node").alias("node"), F.greatest("node", "lead_node").alias("lead"))
+
+
+def _apart(similarity: float) -> float:
+    """Two sets with a Jaccard coefficient of `similarity` or more differ in at most this share of the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _least_common(sizes: Column, n: Column, similarity: float) -> Column:
+    """What two sets' differences from a third, of these sizes together, have in common at least, if the sets, of n elements together, are alike."""
+    return F.ceil((sizes - _apart(similarity) * n) / 2 - 1e-9)
+
+
+def meeting(texts: DataFrame, similarity: float, crowd: int = LEADS + 1, rounds: int = ROUNDS) -> DataFrame:
+    """Pairs (node, lead) of texts (node, root, shingles) with different roots, with all that a Jaccard coefficient of `similarity`
+    joins, but for pairs whose texts both are joined with a third by others of the pairs.
+
+    Two such texts share `similarity` of the shingles of either, so they meet by their rarest shingles (_keys()). A passage in many texts
+    comes last, so texts that have little else in common don't meet. Keys of up to `crowd` texts are joined as they are. Those of more
+    texts come from edits of one text, that share most of it and are mostly not alike; their pairs would grow with the square of the group.
+    So of the texts that such keys connect one is the lead, and they go on as their differences from it. The difference of two
+    texts is that of their differences. Texts that differ little from the lead are joined with it; of any other pair one text is far from
+    the lead, and what they have in common beside the lead must make up for that: half of the difference of either or more. An edit's
+    own words are in no other text, so few differences meet. A text whose difference is at most HOME of its size has all that it can be
+    alike with in that frame, by the triangle inequality; the others go on to the next round, with their own leads. Those that
+    `rounds` leave are joined by their shingles.
+    """
+    c, n = _apart(similarity), F.size("shingles")
+    true = F.lit(True)
+    whole = texts.select(F.lit(0).cast("long").alias("frame"), "node", "root", n.alias("n"), n.alias("size"), F.ceil(similarity * n - 1e-9).alias("least"), true.alias("home"), true.alias("far"), F.col("shingles").alias("elements"))
+    left = written(_keys(whole))
+    found, keys = [], []
+    for k in range(rounds + 1):
+        crowded = left.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("a")).where((F.col("c") > crowd) & (F.col("lo") < F.col("hi")))
+        crowded = written(crowded.select("shingle", "a"))
+        if k == rounds or crowded.isEmpty():
+            keys.append(left)
+            break
+        keys.append(left.join(crowded, "shingle", "left_anti"))
+        left = written(left.join(crowded, "shingle", "left_semi"))
+        same = components(left.join(crowded, "shingle").select("a", F.col("node").alias("b")))
+        scored = left.groupBy("node").agg(F.first("score").alias("score")).join(same.withColumnRenamed("root", "same"), "node")
+        leads = scored.groupBy("same").agg(F.max(F.struct("score", "node"))["node"].alias("frame"))
+        framed = scored.join(leads, "same").select("node", "frame")
+        lead = texts.select(F.col("node").alias("frame"), F.col("root").alias("lead_root"), F.col("shingles").alias("lead_shingles"))
+        both = framed.join(leads.select("frame").join(lead, "frame"), "frame").join(texts, "node").select("frame", "lead_root", "node", "root", n.alias("n"), F.size("lead_shingles").alias("lead_n"), F.concat(F.array_except("shingles", "lead_shingles"), F.array_except("lead_shingles", "shingles")).alias("elements"))
+        both = both.withColumn("size", F.size("elements")).where(F.col("size") <= (HOME / similarity + c * (1 + 1 / similarity)) * F.col("n") + 1e-9)
+        common = (F.col("n") + F.col("lead_n") - F.col("size")) / 2
+        both = both.withColumns({"far": ~(common >= similarity * (F.col("n") + F.col("lead_n") - common)), "home": F.col("size") <= HOME * F.col("n")})
+        with_far = F.ceil((F.col("size") + c * (F.col("lead_n") - F.col("n"))) / 2 - 1e-9)
+        with_any = F.ceil(F.col("size") - c * (1 + 1 / similarity) * F.col("n") - 1e-9)
+        both = written(both.withColumn("least", F.greatest(F.lit(1), F.when(F.col("far"), F.least(with_far, with_any)).otherwise(with_far))))
+        found.append(both.where(~F.col("far") & (F.col("root") != F.col("lead_root"))).select("node", F.col("frame").alias("lead")))
+        keys.append(_keys(both.drop("lead_root", "lead_n")))
+        left = written(left.join(both.where("home").select("node"), "node", "left_anti"))
+    found.append(_met(written(reduce(DataFrame.unionByName, keys)), similarity))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, leads: int = LEADS) -> DataFrame:
